@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm import decontamination, line_dedup, mixing, simhash_dedup, toxicity
+from photonlake.llm import decontamination, langid, license_scan, line_dedup, mixing, quality_bands, simhash_dedup, toxicity
 from photonlake.session import ship, table
 
 
@@ -19,6 +19,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kept_doc_id", F.col("kept_line_no").cast("long").alias("kept_line_no"), "kept")
 
 
+def op2_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality_bands.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.filter(fold(5) != 0))
+    return langid.predict(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), profiles).drop("text")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -27,6 +39,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,6 +59,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_position")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_toxicity, op7_simhash_dedup, op8_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_bands, op3_langid, op5_toxicity, op6_license_scan, op7_simhash_dedup, op8_decontamination, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
