@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm import decontamination, langid, license_scan, line_dedup, mixing, quality_bands, simhash_dedup, toxicity
+from photonlake.llm import decontamination, langid, license_scan, line_dedup, mixing, quality_bands, simhash_dedup, suffix_dedup, toxicity
 from photonlake.session import ship, table
 
 
@@ -54,11 +54,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", F.col("n_shingles"), "containment")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), mixing.TARGET_WEIGHTS)
     return mixed.select("doc_id", "source", "mix_block", "mix_position")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_bands, op3_langid, op5_toxicity, op6_license_scan, op7_simhash_dedup, op8_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_bands, op3_langid, op5_toxicity, op6_license_scan, op7_simhash_dedup, op8_decontamination, op9_suffix_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}

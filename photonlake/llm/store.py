@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,9 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries, which otherwise stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
