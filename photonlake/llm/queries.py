@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.llm import decontamination, langid, license_scan, line_dedup, mixing, quality_bands, simhash_dedup, suffix_dedup, toxicity
+from photonlake.llm import context_mixing, decontamination, langid, license_scan, line_dedup, mixing, quality_bands, simhash_dedup, suffix_dedup, toxicity
 from photonlake.session import ship, table
 
 
@@ -31,6 +31,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), profiles).drop("text")
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    scored = context_mixing.score(table(spark, sf_dir, "documents"), fold(7) != 2)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -66,6 +72,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_position")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_bands, op3_langid, op5_toxicity, op6_license_scan, op7_simhash_dedup, op8_decontamination, op9_suffix_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_bands, op3_langid, op4_context_mixing, op5_toxicity, op6_license_scan, op7_simhash_dedup, op8_decontamination, op9_suffix_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
