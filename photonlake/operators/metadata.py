@@ -11,7 +11,7 @@ CAMERA_SETTING = {1: "Auto", 2: "Sunlight", 3: "Shade", 4: "Overcast", 5: "Incan
 CODEC = {7: 1, 52546: 2, 1: 3, 34892: 4}
 STATUS = {
     "NotRecognized": 7,
-    "UnsupportedContainer": 3,
+    "UnsupportedFormat": 3,
     "UnsupportedFeature": 3,
     "ResourceLimit": 5,
     "Allocation": 6,

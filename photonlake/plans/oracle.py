@@ -155,8 +155,8 @@ ORACLE_SQL = {
     "white_balance_lookup": f"""WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 14 END light, o_custkey % 15 setting FROM orders) SELECT o_orderkey, coalesce(
         {_CASE('light', {1: 'Sunlight', 9: 'Sunlight', 2: 'Fluorescent', 3: 'Incandescent', 4: 'Flash', 10: 'Overcast', 11: 'Shade'})} END,
         {_CASE('setting', {1: 'Auto', 2: 'Sunlight', 3: 'Shade', 4: 'Overcast', 5: 'Incandescent', 6: 'Fluorescent', 7: 'Flash', 8: 'Custom', 12: 'AutoLSP'})} END) preset FROM e""",
-    "status_map": f"""WITH e AS (SELECT (['NotRecognized', 'UnsupportedContainer', 'UnsupportedFeature', 'ResourceLimit', 'Allocation', 'InvalidContainer', 'Truncated', 'InvalidOffset', 'InvalidTag', 'InvalidGeometry', 'Other'])[l_orderkey % 11 + 1] error FROM lineitem)
-        SELECT error, count(*) n, {_CASE('error', {'NotRecognized': 7, 'UnsupportedContainer': 3, 'UnsupportedFeature': 3, 'ResourceLimit': 5, 'Allocation': 6})} ELSE 4 END status FROM e GROUP BY error""",
+    "status_map": f"""WITH e AS (SELECT (['NotRecognized', 'UnsupportedFormat', 'UnsupportedFeature', 'ResourceLimit', 'Allocation', 'InvalidContainer', 'Truncated', 'InvalidOffset', 'InvalidTag', 'InvalidGeometry', 'Other'])[l_orderkey % 11 + 1] error FROM lineitem)
+        SELECT error, count(*) n, {_CASE('error', {'NotRecognized': 7, 'UnsupportedFormat': 3, 'UnsupportedFeature': 3, 'ResourceLimit': 5, 'Allocation': 6})} ELSE 4 END status FROM e GROUP BY error""",
     "codec_names": f"WITH e AS (SELECT p_partkey, ([1, 7, 34892, 52546, 8])[p_partkey % 5 + 1] c FROM part) SELECT p_partkey, {_CASE('c', {7: 1, 52546: 2, 1: 3, 34892: 4})} ELSE 0 END codec FROM e",
     "ifd_pivot": "WITH t AS (SELECT l_orderkey image_id, l_linenumber k, l_partkey v FROM lineitem WHERE l_linenumber <> 7) SELECT image_id, "
     + ", ".join(f"max(v) FILTER (k = {i}) {name}" for i, name in enumerate(("analog_balance", "as_shot_neutral", "as_shot_white_xy", "color_matrix_1", "color_matrix_2", "forward_matrix_1"), 1))
