@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from photonlake.functions import cipher
 from photonlake.functions.entropy import Codebook
 from photonlake.sources.errors import DecodeError, guarded
+from photonlake.sources.rows import frame
 
 MAX_BYTES, MAX_ENTRIES, MAX_PROPERTIES, MAX_ALL_PROPERTIES, MAX_STRING_BYTES, MAX_VALUES = 32 << 20, 4096, 4096, 65536, 4 << 20, 4 << 20
 # Numpy types of matrix element kinds.
@@ -159,12 +160,11 @@ def entry_table(sections: DataFrame) -> DataFrame:
     """camf_entries of a table (path, camf): one row per entry, or one with the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
         for pdf in batches:
             rows = []
             for path, section in zip(pdf["path"], pdf["camf"], strict=True):
                 found, error = guarded(lambda s: entries(decode(bytes(s))), section) if section is not None else (None, "InvalidContainer")
                 rows += [{"path": path, "error": error}] if error else [{"path": path, "error": None} | e for e in found]
-            yield pd.DataFrame(rows, columns=names).astype({"ord": "Int32"})
+            yield frame(rows, ENTRY_SCHEMA)
 
     return sections.select("path", "camf").mapInPandas(run, ENTRY_SCHEMA)

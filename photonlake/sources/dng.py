@@ -14,6 +14,7 @@ from photonlake.operators.normalize import CORRECTED, OUT_OF_CODES, OUTSIDE, SAT
 from photonlake.operators.opcodes import STAGE_CODES, STAGE_LINEAR, Opcode, processing
 from photonlake.sources import tiff
 from photonlake.sources.errors import DecodeError, Limits, guarded
+from photonlake.sources.rows import frame
 
 IMAGE_SCHEMA = """path string, width long, height long, active_area array<int>, valid_area array<int>, crop_origin array<double>, crop_size array<double>, orientation int,
     states map<string,string>, error string"""
@@ -329,10 +330,6 @@ def masks(image: Image) -> list[dict]:
     return out
 
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.replace("\n", " ").split(", ")]
-
-
 def image_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per file: geometry and the state of each correction, or the error. Nothing but the opcode geometry is decoded."""
 
@@ -348,7 +345,7 @@ def image_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
                     row |= {"width": image.size[1], "height": image.size[0], "active_area": list(image.area), "valid_area": list(done["valid_area"]), "states": done["states"]}
                     row |= {"crop_origin": raw.numbers(50719), "crop_size": raw.numbers(50720), "orientation": image.facts["orientation"]}
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=_names(IMAGE_SCHEMA)).astype({"width": "Int64", "height": "Int64", "orientation": "Int32"})
+            yield frame(rows, IMAGE_SCHEMA)
 
     return files.select("path", "content").mapInPandas(run, IMAGE_SCHEMA)
 
@@ -379,6 +376,6 @@ def mask_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noq
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 found, error = guarded(lambda b: masks(parse(b, limits)), bytes(content))
                 rows += [{"path": path, "error": error}] if error else [{"path": path, "error": None} | m for m in found]
-            yield pd.DataFrame(rows, columns=_names(MASK_SCHEMA)).astype({"ifd_offset": "Int64", "width": "Int32", "height": "Int32"})
+            yield frame(rows, MASK_SCHEMA)
 
     return files.select("path", "content").mapInPandas(run, MASK_SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 # The display text of each error.
@@ -49,5 +50,5 @@ def guarded(call, *args):
         return call(*args), None
     except DecodeError as e:
         return None, e.kind
-    except (IndexError, ValueError, OverflowError, MemoryError):
+    except (IndexError, KeyError, TypeError, ValueError, OverflowError, MemoryError, struct.error):
         return None, "InvalidContainer"

@@ -17,11 +17,6 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", max_bytes: in
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= max_bytes)
 
 
-def stream_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """The same rows as a stream of arriving files."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-
-
 def with_container(files: DataFrame) -> DataFrame:
     """files with the container by their magic, so that other files never reach a parser."""
     return files.withColumn("container", metadata.container(F.col("content")))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from photonlake.sources.errors import DecodeError, Limits, guarded
+from photonlake.sources.rows import frame
 
 # Bytes of a component, and its struct code, by TIFF field type.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
@@ -240,24 +241,19 @@ def classification(container: str | None, error: str | None) -> str:
 
 def probe_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per file (path, content) with its container facts or error."""
-    names = [c.split()[0] for c in PROBE_SCHEMA.replace("\n", " ").split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 found, error = guarded(probe, bytes(content), limits)
                 rows.append({"path": path, "error": error} | (found or {}))
-            ints = {c: "Int64" for c in ("version", "width", "height")} | {c: "Int32" for c in ("samples_per_pixel", "compression", "photometric", "planar")}
-            yield pd.DataFrame(rows, columns=names).astype(ints)
+            yield frame(rows, PROBE_SCHEMA)
 
     return files.select("path", "content").mapInPandas(run, PROBE_SCHEMA)
 
 
 def tag_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per tag of every directory in visiting order, or one per file with the error."""
-    names = [c.split()[0] for c in TAG_SCHEMA.split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -270,7 +266,6 @@ def tag_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa
                         {"path": path, "dir_ord": k, "ifd_offset": d.offset, "parent_offset": d.parent, "tag_ord": i, "tag_id": t.id, "field_type": t.kind, "count": t.count, "data": t.data, "error": None}
                         for i, t in enumerate(d.tags.values())
                     ]
-            ints = {c: "Int32" for c in ("dir_ord", "tag_ord", "tag_id", "field_type")} | {c: "Int64" for c in ("ifd_offset", "parent_offset", "count")}
-            yield pd.DataFrame(rows, columns=names).astype(ints)
+            yield frame(rows, TAG_SCHEMA)
 
     return files.select("path", "content").mapInPandas(run, TAG_SCHEMA)

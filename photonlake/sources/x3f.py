@@ -13,6 +13,7 @@ from photonlake.functions import exif as jpeg_exif
 from photonlake.functions.entropy import Codebook
 from photonlake.sources.camf import parity_planes, u32
 from photonlake.sources.errors import DecodeError, guarded
+from photonlake.sources.rows import frame
 
 # Fixed values of the format.
 VERSIONS = (0x20001, 0x20002, 0x20003, 0x30000, 0x30001, 0x40001, 0x40002)
@@ -125,7 +126,6 @@ def section_table(files: DataFrame) -> DataFrame:
     """One row per file (path, content) with its sections, preview EXIF and sensor, or the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SECTIONS.split(", ")]
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -137,7 +137,7 @@ def section_table(files: DataFrame) -> DataFrame:
                         row["exif"] = guarded(jpeg_exif.exif, found["jpeg"])[0]
                         row["light_source"] = jpeg_exif.light_source(found["jpeg"])
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=names).astype({"version": "Int64", "light_source": "Int32"})
+            yield frame(rows, SECTIONS)
 
     return files.select("path", "content").mapInPandas(run, SECTIONS)
 
@@ -146,12 +146,11 @@ def scanline_table(sections_df: DataFrame, geometry: dict = GEOMETRY) -> DataFra
     """Scanlines of the three planes of each file, or one row with the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCANLINES.split(", ")]
         for pdf in batches:
             for path, version, raw in zip(pdf["path"], pdf["version"], pdf["raw"], strict=True):
                 found, error = guarded(planes, bytes(raw), int(version), geometry)
                 if error:
-                    yield pd.DataFrame([{"path": path, "error": error}], columns=names).astype({c: "Int32" for c in ("plane", "y", "width")})
+                    yield frame([{"path": path, "error": error}], SCANLINES)
                 for plane, v in enumerate(found or ()):
                     yield pd.DataFrame({"path": path, "plane": plane, "y": range(len(v)), "width": v.shape[1], "samples": list(v), "error": None})
 
