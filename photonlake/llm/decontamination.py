@@ -74,6 +74,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_containment: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """docs without the contaminated documents, all columns kept."""
-    bad = materialise(contaminated(docs, benchmark, **limits).select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th")).distinct(), "contaminated")
-    hit = docs["doc_id"].cast("long").eqNullSafe(F.col("b_id")) & (F.xxhash64(docs["text"]) == F.col("b_th"))
+    bad = materialise(contaminated(docs, benchmark, **limits).select(F.col("doc_id").alias("_pl_id"), F.col("th").alias("_pl_th")).distinct(), "contaminated")
+    hit = docs["doc_id"].cast("long").eqNullSafe(F.col("_pl_id")) & (F.xxhash64(docs["text"]) == F.col("_pl_th"))
     return docs.join(small_side(bad), hit, "left_anti")

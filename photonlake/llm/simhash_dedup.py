@@ -123,8 +123,8 @@ def keep_one(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     # one row per fingerprint first, so that a group of copies is small before its rows meet
     per_print = prints.groupBy("fp").agg(F.min(rank).alias("best"))
     best = per_print.join(groups, F.col("fp") == F.col("cfp")).groupBy("component").agg(F.min("best").alias("best"))
-    stay = materialise(best.select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th")), "stay")
-    hit = docs["doc_id"].cast("long").eqNullSafe(stay["k_id"]) & (F.xxhash64(docs["text"]) == stay["k_th"])
+    stay = materialise(best.select(F.col("best.doc_id").alias("_pl_id"), F.col("best.th").alias("_pl_th")), "stay")
+    hit = docs["doc_id"].cast("long").eqNullSafe(stay["_pl_id"]) & (F.xxhash64(docs["text"]) == stay["_pl_th"])
     kept = docs.join(stay, hit, "inner")
     names = docs.columns
-    return kept.dropDuplicates(["k_id", "k_th"]).select(*[docs[c] for c in names])
+    return kept.dropDuplicates(["_pl_id", "_pl_th"]).select(*[docs[c] for c in names])
