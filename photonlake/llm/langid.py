@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
+SEPARATOR = 1
 SLICE_CHARS = 1 << 20
 FLUSH = 1 << 20
 
@@ -35,18 +36,20 @@ def _letters() -> np.ndarray:
 
 
 def gram_codes(text: str | None) -> np.ndarray:
-    """The n-grams of a text, 21 bits for each code point, separators being zero; empty if it has no letter."""
+    """The n-grams of a text, 21 bits for each code point, separators being one; empty if it has no letter."""
     if not text:
         return np.zeros(0, np.int64)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    points = np.where(_letters()[points], points, 0)
-    if not points.any():
+    letter = _letters()[points]
+    if not letter.any():
         return np.zeros(0, np.int64)
-    points = np.concatenate([[0], points, [0]])
-    points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+    letter = np.concatenate([[False], letter, [False]])
+    points = np.where(letter, np.concatenate([[0], points, [0]]), SEPARATOR)
+    keep = np.concatenate([[True], letter[1:] | letter[:-1]])
+    points, letter = points[keep], letter[keep]
     pairs = points[:-1] << 21 | points[1:]
-    triples = (pairs[:-1] << 21 | points[2:])[points[1:-1] != 0]
-    return np.concatenate([points[points != 0], pairs, triples])
+    triples = (pairs[:-1] << 21 | points[2:])[letter[1:-1]]
+    return np.concatenate([points[letter], pairs, triples])
 
 
 def profile(text: str | None, size: int = PROFILE) -> np.ndarray:
