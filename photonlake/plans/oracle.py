@@ -51,7 +51,7 @@ def _gain(top: str, left: str, height: str, width: str, source: str, out: str =
 
 
 def _point(expression: str) -> str:
-    return f"WITH {LIN} SELECT y, x, channel, round({expression}, 6) v FROM lin, nh"
+    return f"WITH {LIN} SELECT y, x, channel, round({expression} + 1e-9, 6) v FROM lin, nh"
 
 
 def _clamp(expression: str) -> str:
@@ -91,16 +91,16 @@ ORACLE_SQL = {
     "opcode_map_table": _point("((1 + 600 * least(round(v * 65535), 99)) * 37 % 65536)::DOUBLE / 65535"),
     "opcode_map_table_codes": f"WITH {IL} SELECT y, x, channel, (least(code, 2999) * 11 % 5000)::DOUBLE v FROM il",
     "opcode_polynomial": _point(_clamp("-0.25 + ((-0.5 * v + 1.25) * v + 0.5) * v")),
-    "opcode_gain_map": f"WITH {LIN}, {GAIN_CTE}, {_gain('0', '0', '(SELECT n FROM nh)', '21', 'lin')} SELECT y, x, channel, round(v, 6) v FROM gained",
+    "opcode_gain_map": f"WITH {LIN}, {GAIN_CTE}, {_gain('0', '0', '(SELECT n FROM nh)', '21', 'lin')} SELECT y, x, channel, round(v + 1e-9, 6) v FROM gained",
     "opcode_row_delta": _point(_clamp("v + (y % 9 - 4) / 16.0")),
     "opcode_col_delta": _point(_clamp("v + (x % 7 - 3) / 8.0")),
     "opcode_row_scale": _point(_clamp("v * (1 + (y % 5) / 4.0)")),
     "opcode_col_scale": _point(_clamp("v * (0.5 + (x % 6) / 4.0)")),
     "opcode_pitch_area": _point(f"CASE WHEN y BETWEEN 2 AND 39 AND x BETWEEN 1 AND 19 AND (y - 2) % 3 = 0 AND (x - 1) % 2 = 0 AND channel >= 1 THEN {_clamp('v * (2.0 - ((x - 1) // 2) / 8.0)')} ELSE v END"),
-    "opcode_trim": f"WITH {LIN} SELECT y, x, channel, round(v, 6) v FROM lin, nh WHERE y >= 1 AND y < n - 3 AND x >= 2 AND x < 20",
+    "opcode_trim": f"WITH {LIN} SELECT y, x, channel, round(v + 1e-9, 6) v FROM lin, nh WHERE y >= 1 AND y < n - 3 AND x >= 2 AND x < 20",
     "opcode_chain": f"""WITH {LIN}, {GAIN_CTE}, tr AS (SELECT lin.* FROM lin, nh WHERE y >= 1 AND y < n - 1 AND x >= 1 AND x < 20), {_gain('1', '1', '(SELECT n - 2 FROM nh)', '19', 'tr')},
         po AS (SELECT y, x, channel, CASE WHEN channel < 2 THEN {_clamp('0.125 + 0.75 * v')} ELSE v END v FROM gained)
-        SELECT y, x, channel, round(CASE WHEN y BETWEEN 4 AND 19 AND x BETWEEN 3 AND 14 AND (y - 4) % 4 = 0 THEN {_clamp('v * CASE (y - 4) // 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 WHEN 2 THEN 1.25 ELSE 1.5 END')} ELSE v END, 6) v FROM po""",
+        SELECT y, x, channel, round(CASE WHEN y BETWEEN 4 AND 19 AND x BETWEEN 3 AND 14 AND (y - 4) % 4 = 0 THEN {_clamp('v * CASE (y - 4) // 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 WHEN 2 THEN 1.25 ELSE 1.5 END')} ELSE v END + 1e-9, 6) v FROM po""",
     "profile_gain": f"""WITH {LIN}, rgb AS (SELECT y, x, max(v) FILTER (channel = 0) r, max(v) FILTER (channel = 1) g, max(v) FILTER (channel = 2) b FROM lin GROUP BY ALL),
         c AS (SELECT y, x, greatest(0, least(1, ((y + 0.5) / n - 0.25) / 0.5)) fy, greatest(0, least(1, ((x + 0.5) / 21 - 0.25) / 0.5)) fx,
           greatest(0, least(1, (r * 0.25 + g * 0.5 + b * 0.125 + least(r, g, b) * 0.0625 + greatest(r, g, b) * 0.0625) * 1.5)) ** 2 * 3 t FROM rgb, nh),
