@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one or two long columns up to which a side may be broadcast (about 16 bytes a row: 32 MB).
 BROADCAST_ROWS = 2_000_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -25,10 +25,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no recomputation."""
+    """Writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no recomputation.
+
+    The shuffle files of the write are of no use after it and are deleted with it.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/photonlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,9 +45,3 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= limit else df
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries, which otherwise stay until the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.llm.store import materialise, release
+from photonlake.llm.store import materialise
 
 LENGTH = 50
 GRAM = 16
@@ -106,29 +106,29 @@ def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class ColumnwiseCollection:
     """Burrows-Wheeler transform and common prefixes of many strings, one symbol of each string a round.
 
-    The transform (a byte a row, zero where a string begins) and the common prefixes with the row before (two bytes a
-    row) are external files; a round reads both in order and writes both anew.
+    The transform (a byte a row, zero where a string begins) and the common prefixes with the row before (a byte a row, as
+    strings are short) are external files; a round reads both in order and writes both anew.
     """
 
     def __init__(self, strings: list[bytes], folder: Path):
         self.sizes = np.array([len(s) for s in strings], dtype=np.int64)
         self.n = len(strings)
         self.files = folder / "bwt", folder / "lcp"
-        text = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1  # zero is the end of a string
+        text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # zero is the end of a string; UTF-8 has no byte 255
         self.text, self.ends = text, np.cumsum(self.sizes)
-        self._write(self._symbol(np.arange(self.n), 1), np.zeros(self.n, np.uint16))
+        self._write(self._symbol(np.arange(self.n), 1), np.zeros(self.n, np.uint8))
         self._build()
 
     def _symbol(self, who: np.ndarray, back: int) -> np.ndarray:
         """The symbol that is `back` places from the end of each string; zero before its first."""
-        return np.where(self.sizes[who] >= back, self.text[np.maximum(self.ends[who] - back, 0)], 0).astype(np.uint16)
+        return np.where(self.sizes[who] >= back, self.text[np.maximum(self.ends[who] - back, 0)], 0).astype(np.uint8)
 
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
         for path, values in zip(self.files, (bwt, lcp), strict=True):
             values.tofile(path)
 
     def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(p, np.uint16) for p in self.files)
+        return tuple(np.fromfile(p, np.uint8) for p in self.files)
 
     def _build(self) -> None:
         row = np.arange(self.n)  # of the last suffix put in, for each string that goes on
@@ -148,14 +148,14 @@ class ColumnwiseCollection:
             touched = np.flatnonzero(new | np.concatenate([[False], new[:-1]]))
             before = order[touched - 1]
             same = (touched > 0) & (bwt[before] == bwt[order[touched]])
-            common = np.zeros(len(touched), np.uint16)
+            common = np.zeros(len(touched), np.uint8)
             if same.any():
                 pairs = np.stack([before[same] + 1, order[touched[same]] + 1], axis=1).ravel()
                 common[same] = np.minimum.reduceat(np.append(lcp, 0), pairs)[::2] + 1
             at = np.sort(mine) + self.n  # rows of the new suffixes, after the ends of all strings
             old = np.ones(len(bwt) + len(at), bool)
             old[at] = False
-            next_bwt, next_lcp = np.empty(len(old), np.uint16), np.empty(len(old), np.uint16)
+            next_bwt, next_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
             next_bwt[old], next_lcp[old] = bwt, lcp
             next_bwt[mine + self.n] = self._symbol(who, back + 1)
             next_lcp[touched + self.n] = common
@@ -205,7 +205,11 @@ def _judge_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def judged(parts: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(parts).groupby(["h", "sh"], sort=False).agg(low=("low", "min"), high=("high", "max"), s=("s", "first")).reset_index()
-        rows["flags"] = repeated_strings(list(rows["s"]), rows["low"].to_numpy(np.int64))
+        # an anchor whose stretches are all equal needs no comparison: the least okey keeps its bytes, the others lose theirs
+        several = rows.duplicated("h", keep=False).to_numpy()
+        flags = np.zeros(len(rows), np.int64)
+        flags[several] = repeated_strings(list(rows["s"][several]), rows["low"].to_numpy(np.int64)[several])
+        rows["flags"] = flags
         return rows.loc[(rows["flags"] != 0) | (rows["high"] > rows["low"]), ["h", "sh", "low", "flags"]]
 
     held, size = [], 0
@@ -269,16 +273,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_anchor = Window.partitionBy("h")
     shared = found.withColumns({"low": F.min("okey").over(by_anchor), "high": F.max("okey").over(by_anchor)}).filter("low < high")
     shared = materialise(shared.select("h", "okey", "th", "run"), "anchors")
-    release(docs.sparkSession)
     lists = shared.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("h", "run")).alias("runs"))
     texts = keyed.select("okey", "th", "text").join(lists, (F.col("okey") == F.col("r_okey")) & (F.col("th") == F.col("r_th")))
     schema = "h long, sh long, okey long, th long, run long, low long, high long, s binary"
     stretches = materialise(texts.select("okey", "th", "text", "runs").mapInPandas(_stretch_rows, schema), "stretches")
-    release(docs.sparkSession)
     different = stretches.filter("s is not null").select("h", "sh", "low", "high", "s")
     judged = different.repartition("h").sortWithinPartitions("h").mapInPandas(_judge_stretches, "h long, sh long, low long, flags long")
     judged = materialise(judged, "judged").select(F.col("h").alias("j_h"), F.col("sh").alias("j_sh"), F.col("low").alias("j_low"), "flags")
-    release(docs.sparkSession)
     places = stretches.select("h", "sh", "okey", "th", "run").join(judged, (F.col("h") == F.col("j_h")) & (F.col("sh") == F.col("j_sh")))
     marked = places.select("okey", "th", "run", F.when(F.col("okey") > F.col("j_low"), F.lit(-1).cast("long")).otherwise(F.col("flags")).alias("flags")).filter("flags <> 0")
     cuts = marked.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("run", "flags")).alias("runs"))
