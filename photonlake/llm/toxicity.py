@@ -9,8 +9,9 @@ are scored.
 Training takes at most MAX_PER_LABEL labelled documents of each label and MAX_WINDOWS windows of each (a documented bound,
 chosen by hash): embeddings and softmax are fitted together by Adagrad. The label belongs to the document, not to each
 window, so later rounds take each document's highest windows by the round before, and of a toxic document only those
-that look toxic, or its highest one. A quarter of the documents stays out of this; a logistic fit on their maxima over
-whole texts, weighted to the share of labels over all training rows, sets the score. Since the average and the output layer are linear, the fitted model is one number per bucket for scoring.
+that look toxic, or its highest one. This is done FOLDS times, each time without one part of the documents; the model is the mean
+of these. A logistic fit on each document's maximum over its whole text, by the model that has not seen it, weighted to the share of labels
+over all training rows, sets the score. Since the average and the output layer are linear, the fitted model is one number per bucket for scoring.
 
 Defined results: a null, empty or wordless text has score 0; a null doc_id is scored and never used for training; a null
 label is no label; repeated labels of a document count once (the greatest); with no label, or one class only, every
@@ -19,6 +20,7 @@ score is 0; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,22 +38,24 @@ EPOCHS = 5
 BATCH = 1024
 RATE = 0.5
 ROUNDS = 3
-SAMPLED = "doc_id long, toxic int, top double, ids array<int>"
+FOLDS = 3
+SAMPLED = "doc_id long, toxic int, top double, words binary"
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket, block) of every subword of a text, and the number of blocks of BLOCK_WORDS words."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
+
+
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of the word) of every subword of a list of words."""
     none = np.zeros(0, np.int64)
-    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
     if not words:
-        return none, none, 0
+        return none, none
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    space = data == 32
-    seen = np.cumsum(space)  # spaces up to and with each byte
-    block = (seen - 1) // BLOCK_WORDS
+    seen = np.cumsum(data == 32)  # spaces up to and with each byte
     wide = data.astype(np.uint64) + np.uint64(1)
     ids, at = [], []
     h = wide.copy()
@@ -64,55 +68,76 @@ def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
             ok = np.flatnonzero(seen[n - 2 : n - 2 + m] == seen[:m])  # no space but at the ends
             x = h[ok]
             ids.append(((x ^ (x >> np.uint64(29))) * _PRIME >> np.uint64(46)).astype(np.int64))
-            at.append(block[ok])
-    blocks = (len(words) - 1) // BLOCK_WORDS + 1
-    return np.concatenate(ids or [none]), np.concatenate(at or [none]), blocks
+            at.append(seen[ok] - 1)
+    return np.concatenate(ids or [none]), np.concatenate(at or [none])
 
 
-def _top_logit(text: str | None, weight: np.ndarray) -> float:
-    """The highest average over windows of two neighbouring blocks; NaN if there is no subword."""
-    ids, at, blocks = subwords(text)
-    if not len(ids):
-        return float("nan")
+def _window_logits(words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """The average over each window of two neighbouring blocks; NaN for a window without a subword."""
+    blocks = (len(words) - 1) // BLOCK_WORDS + 1
+    ids, at = subwords(words)
+    at = at // BLOCK_WORDS
     total = np.bincount(at, weights=weight[ids], minlength=blocks)
-    count = np.bincount(at, minlength=blocks)
+    count = np.bincount(at, minlength=blocks).astype(np.float64)
     if blocks > 1:
         total, count = total[:-1] + total[1:], count[:-1] + count[1:]
-    return float((total[count > 0] / count[count > 0]).max())
+    return np.where(count > 0, total / np.maximum(count, 1), np.nan)
+
+
+def _top_logit(text: str | None, weight: np.ndarray) -> float:
+    """The highest average over windows; NaN if there is no subword."""
+    words = words_of(text)
+    logit = _window_logits(words, weight) if words else np.array([np.nan])
+    return float("nan") if np.isnan(logit).all() else float(np.nanmax(logit))
 
 
-def _windows_of(ids: np.ndarray, at: np.ndarray, blocks: int) -> list[np.ndarray]:
-    order = np.argsort(at, kind="stable")
-    edge = np.searchsorted(at[order], np.arange(blocks + 2))
-    found = (ids[order[edge[s] : edge[min(s + 2, blocks)]]] for s in range(max(1, blocks - 1) if blocks else 0))
-    return [w.astype(np.int32) for w in found if len(w)]
+def _fold(doc: int) -> int:
+    return zlib.crc32(str(doc).encode()) // 5 % FOLDS
 
 
 def _sampler(model=None):
-    """Windows of each document to learn from: a random choice or, given a model, the highest ones first and then a random choice; and the highest average over all windows."""
+    """Windows of each document to learn from, as texts: a random choice or, given the models of all folds, first the
+    highest ones by the model that has not seen the document; and the highest average over all windows."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, toxic, text in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True):
-                windows = _windows_of(*subwords(text))
-                if not windows:
+                words = words_of(text)
+                if not words:
                     continue
-                rng, top = np.random.default_rng(int(doc) & 0xFFFFFFFF), 0.0
-                order = rng.permutation(len(windows))
+                starts, top = np.arange(max(1, (len(words) - 1) // BLOCK_WORDS)) * BLOCK_WORDS, 0.0
+                order = np.random.default_rng(int(doc) & 0xFFFFFFFF).permutation(len(starts))
                 if model is not None:
-                    logit = np.array([model.value[w].mean() for w in windows])
+                    logit = np.nan_to_num(_window_logits(words, model.value[_fold(doc)]), nan=-1e9)
                     top, first = float(logit.max()), np.argsort(-logit, kind="stable")[: MAX_WINDOWS // 2]
                     order = np.concatenate([first, order[~np.isin(order, first)]])
-                yield pd.DataFrame({"doc_id": doc, "toxic": toxic, "top": top, "ids": [windows[i] for i in order[:MAX_WINDOWS]]})
+                chosen = [b" ".join(words[starts[i] : starts[i] + 2 * BLOCK_WORDS]) for i in order[:MAX_WINDOWS]]
+                yield pd.DataFrame({"doc_id": doc, "toxic": toxic, "top": top, "words": chosen})
 
     return sample
 
 
+def _batch(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, window) of the subwords of some windows, and how many each has."""
+    parts = [w.split(b" ") for w in windows]
+    ids, word = subwords([w for p in parts for w in p])
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[word]
+    return ids, row, np.bincount(row, minlength=len(parts))
+
+
+def _logits(windows: list[bytes], weight: np.ndarray) -> np.ndarray:
+    out = []
+    for i in range(0, len(windows), BATCH):
+        ids, row, sizes = _batch(windows[i : i + BATCH])
+        out.append(np.bincount(row, weights=weight[ids], minlength=len(sizes)) / np.maximum(sizes, 1))
+    return np.concatenate(out)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_windows(windows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> np.ndarray:
+def fit_windows(windows: list[bytes], label: np.ndarray, seed: int = 7) -> np.ndarray:
     """Embeddings and softmax fitted together; returns the difference of the two class scores for each bucket."""
     rng = np.random.default_rng(seed)
     e = np.zeros((DIMENSION, BUCKETS), np.float32)  # a subword that training has not seen says nothing
@@ -120,13 +145,13 @@ def fit_windows(windows: list[np.ndarray], label: np.ndarray, seed: int = 7) ->
     ge, gw = np.full_like(e, 1e-4), np.full_like(w, 1e-4)
     share = np.clip(label.mean(), 0.02, 0.98)
     importance = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
+    size = min(BATCH, max(64, len(windows) // 80))  # a small sample still takes enough steps
     for _ in range(EPOCHS):
         order = rng.permutation(len(windows))
-        for i in range(0, len(order), BATCH):
-            part = order[i : i + BATCH]
-            sizes = np.array([len(windows[j]) for j in part])
-            ids = np.concatenate([windows[j] for j in part])
-            row = np.repeat(np.arange(len(part)), sizes)
+        for i in range(0, len(order), size):
+            part = order[i : i + size]
+            ids, row, sizes = _batch([windows[j] for j in part])
+            sizes = np.maximum(sizes, 1)
             hidden = np.stack([np.bincount(row, weights=e[d][ids], minlength=len(part)) for d in range(DIMENSION)]) / sizes
             scores = w @ hidden
             p = np.exp(scores - scores.max(axis=0))
@@ -164,29 +189,37 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("l_id"), "l_id").limit(MAX_PER_LABEL) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text")
-    weight, shared = None, None
+    weights, shared = None, None
     for _ in range(ROUNDS):
         found = texts.mapInPandas(_sampler(shared), SAMPLED).toPandas()
         if found["toxic"].nunique() < 2:
             return None
         found = found.sort_values("doc_id", kind="stable").reset_index(drop=True)
         label, doc = found["toxic"].to_numpy(), found["doc_id"].to_numpy()
-        windows = [np.asarray(x) for x in found["ids"]]
-        use = np.ones(len(found), bool)
-        if weight is not None:
-            logit = np.array([weight[x].mean() for x in windows])
+        fold = np.array([_fold(d) for d in doc])
+        windows = [bytes(x) for x in found["words"]]
+        del found
+        use = np.ones(len(windows), bool)
+        if weights is not None:
+            logit = np.empty(len(windows))
+            for f in range(FOLDS):
+                mine = np.flatnonzero(fold == f)
+                if len(mine):
+                    logit[mine] = _logits([windows[i] for i in mine], weights[f])
             top = pd.Series(logit).groupby(doc).transform("max").to_numpy()
             use = (label == 0) | (logit > np.quantile(logit[label == 0], 0.995)) | (logit >= top)
-        fit = use & (doc % 4 != 0) if len({*doc[(doc % 4 != 0) & (label == 1)]}) >= 20 else use  # the rest sets the threshold
-        weight = fit_windows([w for w, u in zip(windows, fit, strict=True) if u], label[fit]).astype(np.float32)
-        shared = docs.sparkSession.sparkContext.broadcast(weight)
+        fits = []
+        for f in range(FOLDS):
+            part = np.flatnonzero(use & (fold != f))
+            part = part if len({*label[part]}) == 2 else np.flatnonzero(use)
+            fits.append(fit_windows([windows[i] for i in part], label[part], seed=7 + f))
+        weights = np.stack(fits).astype(np.float32)
+        shared = docs.sparkSession.sparkContext.broadcast(weights)
     tops = texts.mapInPandas(_sampler(shared), SAMPLED).groupBy("doc_id").agg(F.max("toxic").alias("y"), F.max("top").alias("x")).toPandas()
-    held = tops[tops["doc_id"] % 4 == 0]
-    per_doc = held if held["y"].nunique() == 2 and (held["y"] == 1).sum() >= 20 else tops
-    n = per_doc["y"].value_counts()
-    share = {k: shares.get(k, 0) / sum(shares.values()) / n[k] * len(per_doc) for k in (0, 1)}
-    slope, intercept = _platt(per_doc["x"].to_numpy(), per_doc["y"].to_numpy(), per_doc["y"].map(share).to_numpy())
-    return weight, slope, intercept
+    n = tops["y"].value_counts()
+    share = {k: shares.get(k, 0) / sum(shares.values()) / n[k] * len(tops) for k in (0, 1)}
+    slope, intercept = _platt(tops["x"].to_numpy(), tops["y"].to_numpy(), tops["y"].map(share).to_numpy())
+    return weights.mean(axis=0), slope, intercept
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, column: str = "toxicity") -> DataFrame:
