@@ -152,20 +152,19 @@ def fit_windows(windows: list[bytes], label: np.ndarray, seed: int = 7) -> np.nd
             part = order[i : i + size]
             ids, row, sizes = _batch([windows[j] for j in part])
             sizes = np.maximum(sizes, 1)
-            hidden = np.stack([np.bincount(row, weights=e[d][ids], minlength=len(part)) for d in range(DIMENSION)]) / sizes
-            scores = w @ hidden
-            p = np.exp(scores - scores.max(axis=0))
-            p /= p.sum(axis=0)
-            p[label[part], np.arange(len(part))] -= 1
-            p *= importance[part] / len(part)
-            g = p @ hidden.T
-            back = (w.T @ p) / sizes * len(part)
+            # two classes: scores, and the gradients of both layers, need only the difference of the output vectors
+            out = w[1] - w[0]
+            score = np.bincount(row, weights=(out @ e)[ids], minlength=len(part)) / sizes
+            wrong = (_sigmoid(score) - label[part]) * importance[part]
+            back = np.bincount(ids, weights=(wrong / sizes)[row], minlength=BUCKETS).astype(np.float32)
+            g = (e @ back / len(part)) * np.array([[-1], [1]], np.float32)
             gw += g * g
-            w -= (RATE * g / np.sqrt(gw)).astype(np.float32)
-            for d in range(DIMENSION):
-                gd = np.bincount(ids, weights=back[d][row], minlength=BUCKETS)
-                ge[d] += gd * gd
-                e[d] -= (RATE * 0.2 * gd / np.sqrt(ge[d])).astype(np.float32)
+            w -= RATE * g / np.sqrt(gw)
+            seen = np.flatnonzero(back)
+            ge_seen = out[:, None] * back[seen]
+            squares = ge[:, seen] + ge_seen * ge_seen
+            ge[:, seen] = squares
+            e[:, seen] -= RATE * 0.2 * ge_seen / np.sqrt(squares)
     return (w[1] - w[0]) @ e
 
 
