@@ -15,7 +15,7 @@ def fold(modulus: int) -> Column:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kept_doc_id", F.col("kept_line_no").cast("long").alias("kept_line_no"), "kept")
 
 
