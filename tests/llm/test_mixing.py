@@ -1,3 +1,4 @@
+from fractions import Fraction
 from math import ceil
 
 from photonlake.llm import mixing
@@ -52,3 +53,27 @@ def test_empty_table_and_clashing_columns(spark):
     out = mixing.mix(df)
     assert out.columns == ["doc_id", "text", "source", "src", "rn", "place", "mix_block", "mix_position"] and out.count() == len(corpus())
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_every_prefix_is_within_a_block_of_the_weights(spark):
+    """Against the flow of the exact weights, over the whole order and past the ends of sources."""
+    for names, weights, size in (([f"src{i}" for i in range(20)], {"src0": 3.0, "src1": 2.0}, lambda i: 130 - 6 * i), ([f"src{i}" for i in range(90)], {"src0": 3.0, "src1": 2.0}, lambda i: 30 - i // 9), (["a", "b", "c"], {"a": 0.7, "b": 0.25}, lambda i: 150)):
+        docs = [(1000 * i + j, "t", s) for i, s in enumerate(names) for j in range(size(i))]
+        got = mixing.mix(spark.createDataFrame(docs, SCHEMA), weights, block_docs=1).collect()
+        order = [r.source for r in sorted(got, key=lambda r: r.mix_position)]
+        assert sorted(r.mix_position for r in got) == list(range(len(docs)))
+        w = {s: Fraction(str(weights.get(s, 1.0))) for s in names}
+        left = {s: Fraction(size(i)) for i, s in enumerate(names)}
+        flow, done = dict.fromkeys(names, Fraction(0)), dict.fromkeys(names, 0)
+        for s in order:
+            done[s] += 1
+            time = Fraction(1)
+            while time > 0 and any(left.values()):
+                total = sum(w[x] for x in names if left[x])
+                step = min(time, min(left[x] * total / w[x] for x in names if left[x]))
+                for x in names:
+                    if left[x]:
+                        flow[x] += step * w[x] / total
+                        left[x] -= step * w[x] / total
+                time -= step
+            assert all(abs(done[x] - flow[x]) < 1 for x in names)
