@@ -2,8 +2,9 @@
 
 A text that zstandard shrinks far more than prose of its length is repetitive; one that it hardly shrinks is noise. The
 ratio of compressed to plain bytes is taken over the whole document and over fixed chunks of CHUNK_BYTES. Short
-texts compress worse, so the limits depend on length. A document is rejected when its own ratio is outside the band of
-its length, or when more than MAX_CHUNK_SHARE of its full chunks are outside the chunk band.
+texts compress worse, so the limits depend on length. The rest behind the last full chunk is a chunk too, with the band
+of a document of its length. A document is rejected when its own ratio is outside the band of its length, or when more
+than MAX_CHUNK_SHARE of its bytes are in chunks outside their bands.
 
 The base counts (words, symbols, repeated lines, repeated 8-word windows) are exact; windows are compared by a rolling
 hash first and word by word where hashes meet.
@@ -91,17 +92,21 @@ def band(n_bytes: int) -> tuple[float, float]:
     return next((low, high) for least, low, high in reversed(BANDS) if n_bytes >= least)
 
 
+def _within(ratio: float, limits: tuple[float, float]) -> bool:
+    return limits[0] <= ratio <= limits[1]
+
+
 def compression_verdict(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, int, str | None]:
-    """(ratio, full chunks, chunks outside the chunk band, reason for rejection or None)."""
+    """(ratio, chunks, chunks outside their band, reason for rejection or None)."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return None, 0, 0, None
     ratio = len(compressor.compress(data)) / len(data)
     low, high = band(len(data))
-    chunks = [len(compressor.compress(data[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
-    reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if bad > MAX_CHUNK_SHARE * len(chunks) else None
-    return ratio, len(chunks), bad, reason
+    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+    bad = [len(c) for c in chunks if not _within(len(compressor.compress(c)) / len(c), CHUNK_BAND if len(c) == CHUNK_BYTES else band(len(c)))]
+    reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if sum(bad) > MAX_CHUNK_SHARE * len(data) else None
+    return ratio, len(chunks), len(bad), reason
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

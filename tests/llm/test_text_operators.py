@@ -68,6 +68,18 @@ def test_band_limits():
     assert quality_bands.judge.__doc__ and quality_bands.band(0)[1] == float("inf")
 
 
+def test_noise_is_found_wherever_it_stands():
+    import zstandard
+
+    c, rnd = zstandard.ZstdCompressor(level=3), random.Random(6)
+    plain = "".join(chr(97 + min(rnd.randrange(26), rnd.randrange(26), rnd.randrange(26))) + (" " if i % 5 == 4 else "") for i in range(4000))[:2048]
+    noise = "".join(chr(33 + rnd.randrange(94)) for _ in range(2000))
+    assert quality_bands.compression_verdict(plain, c)[1:] == (1, 0, None)
+    assert quality_bands.compression_verdict(noise + plain, c)[3] == "chunks"
+    assert quality_bands.compression_verdict(plain + noise, c)[1:] == (2, 1, "chunks")
+    assert quality_bands.compression_verdict(plain[:1000], c)[1:] == (1, 0, None)
+
+
 LANGUAGES = {"en": "the and of to in is that it was for on are with as his they at be this from", "fr": "le la les des est et que qui dans pour sur avec une été où ça être à ce il", "de": "der die und das ist nicht ein eine für mit auf dem den über müssen schön groß zu von", "es": "el los las que de en una por con para está niño señor más también año pero como su al"}
 
 
