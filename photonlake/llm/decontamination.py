@@ -56,11 +56,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_containment: float =
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size").cast("double"))))
     longest = F.least(F.floor(upper * F.lit(round(missing, 9))) + 1, F.col("size")).cast("int")
     sketch = items.withColumn("sketch", F.slice(F.array_sort("hs"), F.lit(1), longest)).select("key", "len", F.explode("sketch").alias("h"))
-    probe = materialise(sketch.groupBy("len", "h").agg(F.collect_set("key").alias("keys")), "sketches")
+    probe = materialise(sketch.distinct(), "sketches")
     runs = _doc_shingles(docs, lengths, n)
-    hits = runs.join(small_side(probe), ["len", "h"]).select("doc_id", "th", F.explode("keys").alias("key"))
+    hits = runs.join(small_side(probe), ["len", "h"]).select("doc_id", "th", "key")
     found = materialise(hits.distinct(), "candidate-pairs")
-    holders = small_side(found.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct())
+    holders = small_side(materialise(found.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct(), "holders"))
     some = docs.select("doc_id", "text").join(holders, docs["doc_id"].cast("long").eqNullSafe(F.col("c_id")) & (F.xxhash64(docs["text"]) == F.col("c_th")), "left_semi")
     full = materialise(items.select("key", "len", F.explode("hs").alias("h")), "item-shingles")
     shared = _doc_shingles(some, lengths, n).join(small_side(full), ["len", "h"]).groupBy("doc_id", "th", "key").agg(F.count_distinct("h").alias("n_shared"))

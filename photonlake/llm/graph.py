@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.store import materialise
+from photonlake.llm.store import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     now = materialise(now, "edges")
     before = None
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)), "star")
+        last, now = now, materialise(_small_star(_large_star(now)), "star")
+        discard(last)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(state) == before:
             break

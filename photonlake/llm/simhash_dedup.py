@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from photonlake.llm.graph import connected_components
-from photonlake.llm.store import materialise
+from photonlake.llm.store import discard, materialise, small_side
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -117,14 +117,16 @@ def keep_one(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     Rows that repeat both doc_id and text are one document and leave one row. All columns of docs are returned.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), fingerprint_column("text").alias("fp"))
-    prints = materialise(keyed.distinct(), "prints")
+    prints = materialise(keyed.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("n")), "prints")
     groups = classes(prints.select("doc_id", "fp"), distance)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")
     # one row per fingerprint first, so that a group of copies is small before its rows meet
     per_print = prints.groupBy("fp").agg(F.min(rank).alias("best"))
     best = per_print.join(groups, F.col("fp") == F.col("cfp")).groupBy("component").agg(F.min("best").alias("best"))
-    stay = materialise(best.select(F.col("best.doc_id").alias("_pl_id"), F.col("best.th").alias("_pl_th")), "stay")
+    stay = materialise(best.select(F.col("best.doc_id").alias("_pl_id"), F.col("best.th").alias("_pl_th"), F.col("best.n").alias("_pl_n")), "stay")
+    discard(prints)
     hit = docs["doc_id"].cast("long").eqNullSafe(stay["_pl_id"]) & (F.xxhash64(docs["text"]) == stay["_pl_th"])
-    kept = docs.join(stay, hit, "inner")
-    names = docs.columns
-    return kept.dropDuplicates(["_pl_id", "_pl_th"]).select(*[docs[c] for c in names])
+    kept = docs.join(small_side(stay), hit, "inner")
+    # only rows that repeat both have to meet once more
+    own = [docs[c] for c in docs.columns]
+    return kept.filter(stay["_pl_n"] == 1).select(*own).union(kept.filter(stay["_pl_n"] > 1).dropDuplicates(["_pl_id", "_pl_th"]).select(*own))

@@ -6,9 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StructType
 
-#: Rows of one or two long columns up to which a side may be broadcast (about 16 bytes a row: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Up to which size a side of fixed-width columns may be broadcast.
+BROADCAST_BYTES = 32 << 20
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -37,11 +39,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._pl_path = path
+    return table
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, a materialised table of a few fixed-width columns, has at most `limit` rows; else df for a shuffled join."""
-    from pyspark.sql import functions as F
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise wrote; nothing that is still to run may read them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._pl_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    return F.broadcast(df) if df.count() <= limit else df
+
+def row_bytes(schema: StructType) -> int | None:
+    """Bytes of a row of fixed-width columns, nested ones included, as a broadcast holds it; None if a column has no fixed width."""
+    sizes = [row_bytes(f.dataType) if isinstance(f.dataType, StructType) else 8 if isinstance(f.dataType, (NumericType, BooleanType)) else None for f in schema.fields]
+    return None if None in sizes else 24 + sum(sizes)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if df, a materialised table of fixed-width columns, has at most `limit` bytes; else df for a shuffled join."""
+    width = row_bytes(df.schema)
+    return F.broadcast(df) if width and df.count() * width <= limit else df
