@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What separates words once case is folded: all but letters and digits.
-NOT_WORD = r"[^\p{L}\p{N}]+"
+#: What separates words once case is folded: all but letters and digits (a to z and 0 to 9 are named as they are the quickest to tell).
+NOT_WORD = r"[^a-z0-9\p{L}\p{N}]+"
 
 
 def words_of(column: str) -> Column:
