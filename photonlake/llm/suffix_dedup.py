@@ -8,9 +8,14 @@ the prefixes, which are external files read and written in order (`ColumnwiseCol
 Rounds cost a pass over the whole collection, so one collection of whole documents would need as many passes as
 the longest document has bytes. The work is cut without losing a match: of the GRAM-byte hashes in a LENGTH-byte string
 the least one (the rightmost of equals) is its anchor, which depends on the string alone. So equal strings have equal
-anchors, and the strings of a document that share an anchor are one short stretch of at most 2 * LENGTH bytes. Anchors
-that occur in one document only cannot match and are left; the stretches of the others meet by anchor, equal stretches
-as one row with their least doc_id, and each batch of anchors is a collection of its own.
+anchors, and the strings of a document that share an anchor are one short stretch of under 2 * LENGTH bytes. Anchors
+that occur in one document only cannot match: the least and greatest doc_id of each anchor say which do not, and a filter of
+bits, of bounded size, spares most others the way to the exact test. The stretches that are left meet by anchor, equal
+ones as one row with their least doc_id, and each batch of anchors is a collection of its own. Every stretch that is met in two
+documents goes through the construction.
+
+An anchor with over HOT different stretches is split by the BESIDE bytes before and those after its hashed bytes: a common string of
+LENGTH bytes has as many on one side at least, so it is found in one of the two parts.
 
 Defined results: a null or empty text has no bytes and keeps none; texts shorter than LENGTH keep everything; a null
 doc_id counts as greater than any other, and rows with equal doc_id never remove from each other; rows that repeat
@@ -26,14 +31,20 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.store import materialise
+from photonlake.llm.store import discard, materialise, small_side
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
+#: Bytes that a string of LENGTH has beside the hashed ones, on its longer side at least.
+BESIDE = (LENGTH - GRAM + 1) // 2
+#: Different stretches from which an anchor is split.
+HOT = 1 << 12
 SLICE_BYTES = 1 << 19
+#: Bits of the filter for each shared anchor, and the most it may have (64 MB). Beyond that more rows take the exact test.
+FILTER_BITS, MOST_FILTER_BITS, SEGMENTS = 16, 1 << 29, 256
 #: Stretches after which a collection is closed at the next anchor.
 COLLECTION = 1 << 16
 LAST = (1 << 63) - 1
@@ -41,11 +52,14 @@ LAST = (1 << 63) - 1
 _PRIME = 0x9E3779B97F4A7C15
 
 
-def anchors(data: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, n) of every stretch: n strings that start from byte `first` on have the same anchor. doc: the document of each byte."""
+def anchors(data: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, n, at) of every stretch: n strings that start from byte `first` on have the same anchor, hashed from byte `at` on.
+
+    doc: the document of each byte.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none
+        return none, none, none, none
     h, span = data.astype(np.uint64) + np.uint64(1), 1
     while span < GRAM:
         h = h[:-span] * np.uint64(pow(_PRIME, span, 1 << 64)) + h[span:]
@@ -62,45 +76,90 @@ def anchors(data: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np
     start = np.flatnonzero(doc[: len(at)] == doc[length - 1 :])
     at = at[start]
     if not len(at):
-        return none, none, none
-    edge = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    return h[at[edge]].view(np.int64), start[edge], np.diff(np.append(edge, len(at)))
+        return none, none, none, none
+    edge = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (doc[start[1:]] != doc[start[:-1]])) + 1])
+    return h[at[edge]].view(np.int64), start[edge], np.diff(np.append(edge, len(at))), at[edge]
+
+
+def _slices(pdf: pd.DataFrame) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(first row, texts, document of each byte) for about SLICE_BYTES at a time."""
+    texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends, i = np.cumsum(sizes), 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, SLICE_BYTES + (ends[i - 1] if i else 0), side="right")))
+        yield i, texts[i:j], np.repeat(np.arange(j - i, dtype=np.int32), sizes[i:j])
+        i = j
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(h, okey) of every anchor."""
     for pdf in batches:
-        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        keys, hashes = pdf["okey"].to_numpy(), pdf["th"].to_numpy()
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), SLICE_BYTES, side="right")) + i)
-            doc = np.repeat(np.arange(i, j, dtype=np.int32), sizes[i:j])
-            first = np.concatenate([[0], np.cumsum(sizes[i:j])])
-            h, start, n = anchors(np.frombuffer(b"".join(texts[i:j]), np.uint8), doc)
+        keys = pdf["okey"].to_numpy()
+        for i, texts, doc in _slices(pdf):
+            h, start, _, _ = anchors(np.frombuffer(b"".join(texts), np.uint8), doc)
             if len(h):
+                yield pd.DataFrame({"h": h, "okey": keys[i:][doc[start]]})
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segment of the filter that a hash belongs to, and its two bits there."""
+    u, size = h.view(np.uint64), np.uint64(bits // SEGMENTS)
+    return (u >> np.uint64(56)).astype(np.int64), ((u * np.uint64(_PRIME)) >> np.uint64(20)) % size, (u >> np.uint64(8)) % size
+
+
+def _segment(bits: int):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        segment, one, two = _places(pdf["h"].to_numpy(), bits)
+        row = np.zeros(bits // SEGMENTS, np.uint8)
+        row[one], row[two] = 1, 1
+        return pd.DataFrame({"segment": [int(segment[0])], "bits": [np.packbits(row).tobytes()]})
+
+    return build
+
+
+def _filter(shared: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bytes) of a filter that holds every h of a materialised table; SEGMENTS rows come to the driver."""
+    wanted = max(1, shared.count()) * FILTER_BITS
+    bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (wanted - 1).bit_length()))
+    segment = F.shiftrightunsigned("h", 56)
+    out = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8)
+    # a group holds a 256th of the anchors: it is built from parts, or'ed here
+    parts = shared.select("h", segment.alias("segment"), F.pmod(F.xxhash64("h"), F.lit(1 + wanted // (SEGMENTS << 22))).alias("part"))
+    for r in parts.groupBy("segment", "part").applyInPandas(_segment(bits), "segment int, bits binary").toLocalIterator():
+        out[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
+    return bits, out
+
+
+def _stretch_rows(shared):
+    """One row per stretch whose anchor passes the filter; its bytes stand only in the first row of the slice that has them, with the least and greatest okey of the slice."""
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, held = shared.value
+        for pdf in batches:
+            keys, hashes = pdf["okey"].to_numpy(), pdf["th"].to_numpy()
+            for i, texts, doc in _slices(pdf):
+                data = b"".join(texts)
+                h, start, n, at = anchors(np.frombuffer(data, np.uint8), doc)
+                if not len(h):
+                    continue
+                segment, one, two = _places(h, bits)
+                on = lambda p: held[segment, (p >> np.uint64(3)).astype(np.int64)] >> (7 - (p & np.uint64(7))).astype(np.uint8) & 1  # noqa: B023, E731
+                pick = np.flatnonzero(on(one) & on(two))
+                if not len(pick):
+                    continue
+                h, start, n, at = h[pick], start[pick], n[pick], at[pick]
+                whole = [data[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
+                sh = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in whole), np.uint64, len(whole)).view(np.int64)
                 d = doc[start]
-                yield pd.DataFrame({"h": h, "okey": keys[d], "th": hashes[d], "run": (start - first[d - i]) << 8 | n})
-            i = j
+                first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[d]
+                rows = pd.DataFrame({"h": h, "sh": sh, "okey": keys[i:][d], "th": hashes[i:][d], "run": (start - first) << 8 | n, "at": (at - start).astype(np.int32), "s": whole})
+                group = rows.groupby(["h", "sh"], sort=False)["okey"]
+                rows["low"], rows["high"] = group.transform("min"), group.transform("max")
+                rows.loc[rows.duplicated(["h", "sh"]), "s"] = None
+                yield rows[["h", "sh", "okey", "th", "run", "at", "low", "high", "s"]]
 
-
-def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per stretch; its bytes stand only in the first row of the batch that has them, with the least and greatest okey of the batch."""
-    for pdf in batches:
-        out = []
-        for key, th, text, runs in zip(pdf["okey"], pdf["th"], pdf["text"], pdf["runs"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for r in runs:
-                first, n = r["run"] >> 8, r["run"] & 255
-                out.append((r["h"], key, th, r["run"], data[first : first + n + LENGTH - 1]))
-        if not out:
-            continue
-        rows = pd.DataFrame(out, columns=["h", "okey", "th", "run", "s"])
-        rows["sh"] = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in rows["s"]), np.uint64, len(rows)).view(np.int64)
-        group = rows.groupby(["h", "sh"], sort=False)["okey"]
-        rows["low"], rows["high"] = group.transform("min"), group.transform("max")
-        rows.loc[rows.duplicated(["h", "sh"]), "s"] = None
-        yield rows[["h", "sh", "okey", "th", "run", "low", "high", "s"]]
+    return rows_of
 
 
 class ColumnwiseCollection:
@@ -201,22 +260,18 @@ def repeated_strings(strings: list[bytes], low: np.ndarray, length: int = LENGTH
 
 
 def _judge_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches come sorted by anchor. Whole anchors are gathered into collections of about COLLECTION different stretches."""
+    """Batches come sorted by anchor, each stretch once. Whole anchors are gathered into collections of about COLLECTION stretches."""
 
     def judged(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts).groupby(["h", "sh"], sort=False).agg(low=("low", "min"), high=("high", "max"), s=("s", "first")).reset_index()
-        # an anchor whose stretches are all equal needs no comparison: the least okey keeps its bytes, the others lose theirs
-        several = rows.duplicated("h", keep=False).to_numpy()
-        flags = np.zeros(len(rows), np.int64)
-        flags[several] = repeated_strings(list(rows["s"][several]), rows["low"].to_numpy(np.int64)[several])
-        rows["flags"] = flags
-        return rows.loc[(rows["flags"] != 0) | (rows["high"] > rows["low"]), ["h", "sh", "low", "flags"]]
+        rows = pd.concat(parts, ignore_index=True)
+        rows["flags"] = repeated_strings(list(rows["s"]), rows["low"].to_numpy(np.int64))
+        return rows.loc[rows["flags"] != 0, ["h", "sh", "flags"]]
 
     held, size = [], 0
     for pdf in batches:
         if held and size >= COLLECTION:
-            last = held[-1]["h"].iloc[-1]
-            same = int((pdf["h"] == last).sum())  # sorted: those that go on with the last anchor come first
+            last = held[-1]["g"].iloc[-1]
+            same = int((pdf["g"] == last).sum())  # sorted: those that go on with the last anchor come first
             held.append(pdf.iloc[:same])
             pdf = pdf.iloc[same:]
             if len(pdf):
@@ -265,23 +320,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"okey": F.coalesce("doc_id", F.lit(LAST).cast("long")), "th": F.xxhash64("text")})
 
 
+def _split(stretches: DataFrame, hot: DataFrame) -> DataFrame:
+    """stretches (h, sh, low, s, at) with `g`, what they meet by: the anchor, or for each side the anchor and the bytes there."""
+    before = F.expr(f"CASE WHEN at >= {BESIDE} THEN xxhash64(h, 0, substring(s, at - {BESIDE - 1}, {BESIDE})) END")
+    after = F.expr(f"CASE WHEN length(s) >= at + {GRAM + BESIDE} THEN xxhash64(h, 1, substring(s, at + {GRAM + 1}, {BESIDE})) END")
+    sides = F.filter(F.array(before, after), lambda g: g.isNotNull())
+    met = stretches.join(hot, F.col("h") == F.col("hot_h"), "left")
+    return met.select("h", "sh", "low", "s", F.explode(F.when(F.col("hot_h").isNull(), F.array("h")).otherwise(sides)).alias("g"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, spans (byte offsets of the maximal removed runs), kept (the bytes that stay)."""
     keyed = _keyed(docs)
     long_enough = keyed.select("okey", "th", "text").filter(f"octet_length(text) >= {LENGTH}")
-    found = long_enough.mapInPandas(_anchor_rows, "h long, okey long, th long, run long")
-    by_anchor = Window.partitionBy("h")
-    shared = found.withColumns({"low": F.min("okey").over(by_anchor), "high": F.max("okey").over(by_anchor)}).filter("low < high")
-    shared = materialise(shared.select("h", "okey", "th", "run"), "anchors")
-    lists = shared.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("h", "run")).alias("runs"))
-    texts = keyed.select("okey", "th", "text").join(lists, (F.col("okey") == F.col("r_okey")) & (F.col("th") == F.col("r_th")))
-    schema = "h long, sh long, okey long, th long, run long, low long, high long, s binary"
-    stretches = materialise(texts.select("okey", "th", "text", "runs").mapInPandas(_stretch_rows, schema), "stretches")
-    different = stretches.filter("s is not null").select("h", "sh", "low", "high", "s")
-    judged = different.repartition("h").sortWithinPartitions("h").mapInPandas(_judge_stretches, "h long, sh long, low long, flags long")
-    judged = materialise(judged, "judged").select(F.col("h").alias("j_h"), F.col("sh").alias("j_sh"), F.col("low").alias("j_low"), "flags")
-    places = stretches.select("h", "sh", "okey", "th", "run").join(judged, (F.col("h") == F.col("j_h")) & (F.col("sh") == F.col("j_sh")))
-    marked = places.select("okey", "th", "run", F.when(F.col("okey") > F.col("j_low"), F.lit(-1).cast("long")).otherwise(F.col("flags")).alias("flags")).filter("flags <> 0")
+    found = long_enough.select("okey", "text").mapInPandas(_anchor_rows, "h long, okey long")
+    shared = found.groupBy("h").agg(F.min("okey").alias("low"), F.max("okey").alias("high")).filter("low < high").select("h")
+    shared = materialise(shared, "anchors")
+    held = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+    schema = "h long, sh long, okey long, th long, run long, at int, low long, high long, s binary"
+    passed = long_enough.mapInPandas(_stretch_rows(held), schema)
+    stretches = materialise(passed.join(small_side(shared), "h", "left_semi"), "stretches")
+    # of equal stretches one row with the least doc_id; copies of one stretch do not make an anchor large
+    different = stretches.filter("s is not null").groupBy("h", "sh").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("s").alias("s"), F.first("at").alias("at"))
+    different = materialise(different, "different")
+    hot = different.groupBy(F.col("h").alias("hot_h")).count().filter(F.col("count") > HOT).select("hot_h")
+    by_anchor = _split(different.select("h", "sh", "low", "s", "at"), small_side(materialise(hot, "hot-anchors")))
+    judged = by_anchor.repartition("g").sortWithinPartitions("g").select("g", "h", "sh", "low", "s").mapInPandas(_judge_stretches, "h long, sh long, flags long")
+    judged = judged.groupBy(F.col("h").alias("j_h"), F.col("sh").alias("j_sh")).agg(F.bit_or("flags").alias("flags"))
+    judged = materialise(judged, "judged")
+    known = different.filter("high > low").select(F.col("h").alias("l_h"), F.col("sh").alias("l_sh"), "low")
+    known = known.withColumnRenamed("low", "l_low")
+    places = stretches.select("h", "sh", "okey", "th", "run")
+    places = places.join(judged, (F.col("h") == F.col("j_h")) & (F.col("sh") == F.col("j_sh")), "left").join(known, (F.col("h") == F.col("l_h")) & (F.col("sh") == F.col("l_sh")), "left")
+    # of equal stretches only the first keeps what no other stretch has before it
+    flags = F.when(F.col("okey") > F.col("l_low"), F.lit(-1).cast("long")).otherwise(F.coalesce("flags", F.lit(0).cast("long")))
+    marked = places.select("okey", "th", "run", flags.alias("flags")).filter("flags <> 0")
     cuts = marked.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("run", "flags")).alias("runs"))
+    cuts = materialise(cuts, "cuts")
+    discard(shared, stretches, different, judged)
     whole = keyed.join(cuts, (F.col("okey") == F.col("r_okey")) & (F.col("th") == F.col("r_th")), "left")
     return whole.select("doc_id", "text", "runs").mapInPandas(_cut, KEPT)
