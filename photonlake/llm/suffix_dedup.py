@@ -10,12 +10,13 @@ the longest document has bytes. The work is cut without losing a match: of the G
 the least one (the rightmost of equals) is its anchor, which depends on the string alone. So equal strings have equal
 anchors, and the strings of a document that share an anchor are one short stretch of under 2 * LENGTH bytes. Anchors
 that occur in one document only cannot match: the least and greatest doc_id of each anchor say which do not, and a filter of
-bits, of bounded size, spares most others the way to the exact test. The stretches that are left meet by anchor, equal
-ones as one row with their least doc_id, and each batch of anchors is a collection of its own. Every stretch that is met in two
-documents goes through the construction.
+bits, of bounded size, leaves most of these out (others are compared in vain). The stretches that are left meet by anchor, equal
+ones as one string with their least doc_id, and batches of whole anchors are collections. An anchor with one different
+stretch has nothing to be compared with and stays out of the construction.
 
-An anchor with over HOT different stretches is split by the BESIDE bytes before and those after its hashed bytes: a common string of
-LENGTH bytes has as many on one side at least, so it is found in one of the two parts.
+The rows of an anchor with over HOT stretches are first brought together by content, and the different ones split by the BESIDE bytes
+before and those after the hashed bytes: a common string of LENGTH bytes has as many on one side at least, so it is found in
+one of the two parts.
 
 Defined results: a null or empty text has no bytes and keeps none; texts shorter than LENGTH keep everything; a null
 doc_id counts as greater than any other, and rows with equal doc_id never remove from each other; rows that repeat
@@ -40,13 +41,15 @@ LENGTH = 50
 GRAM = 32
 #: Bytes that a string of LENGTH has beside the hashed ones, on its longer side at least.
 BESIDE = (LENGTH - GRAM + 1) // 2
-#: Different stretches from which an anchor is split.
-HOT = 1 << 12
+#: Stretches above which an anchor's rows are brought together by content first and split by what stands beside.
+HOT = 1 << 10
+#: Rows of whole anchors that are held at a time.
+HELD = 1 << 15
 SLICE_BYTES = 1 << 19
 #: Bits of the filter for each shared anchor, and the most it may have (64 MB). Beyond that more rows take the exact test.
 FILTER_BITS, MOST_FILTER_BITS, SEGMENTS = 16, 1 << 29, 256
-#: Stretches after which a collection is closed at the next anchor.
-COLLECTION = 1 << 16
+#: Different stretches after which a collection is closed at the next anchor; its rounds stay in a core's cache.
+COLLECTION = 1 << 12
 LAST = (1 << 63) - 1
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -103,9 +106,9 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The segment of the filter that a hash belongs to, and its two bits there."""
+    """The segment of the filter that a hash belongs to, and its two bits there. Anchors are least hashes, so only low bits are spread evenly."""
     u, size = h.view(np.uint64), np.uint64(bits // SEGMENTS)
-    return (u >> np.uint64(56)).astype(np.int64), ((u * np.uint64(_PRIME)) >> np.uint64(20)) % size, (u >> np.uint64(8)) % size
+    return (u & np.uint64(SEGMENTS - 1)).astype(np.int64), ((u * np.uint64(_PRIME)) >> np.uint64(20)) % size, (u >> np.uint64(8)) % size
 
 
 def _segment(bits: int):
@@ -122,7 +125,7 @@ def _filter(shared: DataFrame) -> tuple[int, np.ndarray]:
     """(bits, bytes) of a filter that holds every h of a materialised table; SEGMENTS rows come to the driver."""
     wanted = max(1, shared.count()) * FILTER_BITS
     bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (wanted - 1).bit_length()))
-    segment = F.shiftrightunsigned("h", 56)
+    segment = F.col("h").bitwiseAND(F.lit(SEGMENTS - 1))
     out = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8)
     # a group holds a 256th of the anchors: it is built from parts, or'ed here
     parts = shared.select("h", segment.alias("segment"), F.pmod(F.xxhash64("h"), F.lit(1 + wanted // (SEGMENTS << 22))).alias("part"))
@@ -132,7 +135,7 @@ def _filter(shared: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _stretch_rows(shared):
-    """One row per stretch whose anchor passes the filter; its bytes stand only in the first row of the slice that has them, with the least and greatest okey of the slice."""
+    """One row (h, okey, th, run, at, s) per stretch whose anchor passes the filter; run is its place in the text and its number of strings, s its bytes."""
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, held = shared.value
@@ -150,14 +153,9 @@ def _stretch_rows(shared):
                     continue
                 h, start, n, at = h[pick], start[pick], n[pick], at[pick]
                 whole = [data[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
-                sh = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in whole), np.uint64, len(whole)).view(np.int64)
                 d = doc[start]
                 first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[d]
-                rows = pd.DataFrame({"h": h, "sh": sh, "okey": keys[i:][d], "th": hashes[i:][d], "run": (start - first) << 8 | n, "at": (at - start).astype(np.int32), "s": whole})
-                group = rows.groupby(["h", "sh"], sort=False)["okey"]
-                rows["low"], rows["high"] = group.transform("min"), group.transform("max")
-                rows.loc[rows.duplicated(["h", "sh"]), "s"] = None
-                yield rows[["h", "sh", "okey", "th", "run", "at", "low", "high", "s"]]
+                yield pd.DataFrame({"h": h, "okey": keys[i:][d], "th": hashes[i:][d], "run": (start - first) << 8 | n, "at": (at - start).astype(np.int32), "s": whole})
 
     return rows_of
 
@@ -172,22 +170,34 @@ class ColumnwiseCollection:
     def __init__(self, strings: list[bytes], folder: Path):
         self.sizes = np.array([len(s) for s in strings], dtype=np.int64)
         self.n = len(strings)
-        self.files = folder / "bwt", folder / "lcp"
+        self.files = tuple(open(folder / name, "w+b", buffering=0) for name in ("bwt", "lcp"))
         text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # zero is the end of a string; UTF-8 has no byte 255
         self.text, self.ends = text, np.cumsum(self.sizes)
         self._write(self._symbol(np.arange(self.n), 1), np.zeros(self.n, np.uint8))
         self._build()
 
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
+
     def _symbol(self, who: np.ndarray, back: int) -> np.ndarray:
         """The symbol that is `back` places from the end of each string; zero before its first."""
         return np.where(self.sizes[who] >= back, self.text[np.maximum(self.ends[who] - back, 0)], 0).astype(np.uint8)
 
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for path, values in zip(self.files, (bwt, lcp), strict=True):
-            values.tofile(path)
+        for f, values in zip(self.files, (bwt, lcp), strict=True):  # files only grow
+            f.seek(0)
+            f.write(values.data)
+        self.rows_now = len(bwt)
 
     def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(p, np.uint8) for p in self.files)
+        out = []
+        for f in self.files:
+            values = np.empty(self.rows_now, np.uint8)
+            f.seek(0)
+            f.readinto(values.data)
+            out.append(values)
+        return tuple(out)
 
     def _build(self) -> None:
         row = np.arange(self.n)  # of the last suffix put in, for each string that goes on
@@ -198,24 +208,24 @@ class ColumnwiseCollection:
             bwt, lcp = self._read()
             order = np.argsort(bwt, kind="stable")  # the rows by symbol: the order of the suffixes that these symbols begin
             order = order[np.count_nonzero(bwt == 0) :]
-            place = np.empty(len(bwt), np.int64)
-            place[order] = np.arange(len(order))
-            mine = place[row]
+            chosen = np.zeros(len(bwt), bool)
+            chosen[row] = True
+            new = chosen[order]
+            at = np.flatnonzero(new)  # the ranks of the new suffixes
+            mine = np.empty(len(row), np.int64)
+            mine[np.lexsort((row, bwt[row]))] = at
             # common prefixes of the new rows with the row of the same first symbol before and after
-            new = np.zeros(len(order), bool)
-            new[mine] = True
-            touched = np.flatnonzero(new | np.concatenate([[False], new[:-1]]))
-            before = order[touched - 1]
-            same = (touched > 0) & (bwt[before] == bwt[order[touched]])
+            new[1:] |= chosen[order[:-1]]
+            touched = np.flatnonzero(new)
+            before, here = order[touched - 1], order[touched]
+            same = (touched > 0) & (bwt[before] == bwt[here])
             common = np.zeros(len(touched), np.uint8)
             if same.any():
-                pairs = np.stack([before[same] + 1, order[touched[same]] + 1], axis=1).ravel()
+                pairs = np.stack([before[same] + 1, here[same] + 1], axis=1).ravel()
                 common[same] = np.minimum.reduceat(np.append(lcp, 0), pairs)[::2] + 1
-            at = np.sort(mine) + self.n  # rows of the new suffixes, after the ends of all strings
-            old = np.ones(len(bwt) + len(at), bool)
-            old[at] = False
-            next_bwt, next_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-            next_bwt[old], next_lcp[old] = bwt, lcp
+            # rows of the new suffixes stand after the ends of all strings
+            into = at + self.n - np.arange(len(at))
+            next_bwt, next_lcp = np.insert(bwt, into, 0), np.insert(lcp, into, 0)
             next_bwt[mine + self.n] = self._symbol(who, back + 1)
             next_lcp[touched + self.n] = common
             self._write(next_bwt, next_lcp)
@@ -248,6 +258,7 @@ def repeated_strings(strings: list[bytes], low: np.ndarray, length: int = LENGTH
         built = ColumnwiseCollection(strings, Path(folder))
         group = built.groups(length)
         whole = [(size, who, group[row]) for size, who, row in built.rows() if size >= length]
+        built.close()
     who, number = np.concatenate([w for _, w, _ in whole]), np.concatenate([g for _, _, g in whole])
     order = np.lexsort((low[who], number))
     first = np.concatenate([[True], number[order][1:] != number[order][:-1]])
@@ -259,29 +270,59 @@ def repeated_strings(strings: list[bytes], low: np.ndarray, length: int = LENGTH
     return flags
 
 
-def _judge_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches come sorted by anchor, each stretch once. Whole anchors are gathered into collections of about COLLECTION stretches."""
+def _compared(h: np.ndarray, strings: list[bytes], low: np.ndarray) -> np.ndarray:
+    """flags of different strings that meet by h, in collections of whole groups; a group of one has nothing to be compared with."""
+    flags = np.zeros(len(strings), np.int64)
+    order = np.argsort(h, kind="stable")
+    _, first, size = np.unique(h[order], return_index=True, return_counts=True)
+    first, size = first[size > 1], size[size > 1]
+    i = 0
+    while i < len(first):
+        j = i + max(1, int(np.searchsorted(np.cumsum(size[i:]), COLLECTION, side="right")))
+        who = np.concatenate([order[a : a + n] for a, n in zip(first[i:j], size[i:j], strict=True)])
+        flags[who] = repeated_strings([strings[k] for k in who], low[who])
+        i = j
+    return flags
 
-    def judged(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts, ignore_index=True)
-        rows["flags"] = repeated_strings(list(rows["s"]), rows["low"].to_numpy(np.int64))
-        return rows.loc[rows["flags"] != 0, ["h", "sh", "flags"]]
 
+def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames of HELD rows and more that hold whole groups, from batches that come sorted by key."""
     held, size = [], 0
     for pdf in batches:
-        if held and size >= COLLECTION:
-            last = held[-1]["g"].iloc[-1]
-            same = int((pdf["g"] == last).sum())  # sorted: those that go on with the last anchor come first
+        if held and size >= HELD:
+            last = held[-1][key].iloc[-1]
+            same = int((pdf[key] == last).sum())  # sorted: those that go on with the last group come first
             held.append(pdf.iloc[:same])
             pdf = pdf.iloc[same:]
             if len(pdf):
-                yield judged(held)
+                yield pd.concat(held, ignore_index=True)
                 held, size = [], 0
         if len(pdf):
             held.append(pdf)
             size += len(pdf)
     if held:
-        yield judged(held)
+        yield pd.concat(held, ignore_index=True)
+
+
+def _judge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(okey, th, run, flags) of the stretches with something to remove, from rows (h, okey, th, run, s) sorted by h."""
+    for rows in _whole_groups(batches, "h"):
+        which, strings = pd.factorize(rows["s"].to_numpy(object))  # equal stretches have equal anchors
+        okey = rows["okey"].to_numpy(np.int64)
+        low, h = np.full(len(strings), LAST), np.zeros(len(strings), np.int64)
+        np.minimum.at(low, which, okey)
+        h[which] = rows["h"].to_numpy(np.int64)
+        flags = _compared(h, list(strings), low)[which]
+        # of equal stretches only the first keeps what no other stretch has before it
+        rows["flags"] = np.where(okey > low[which], -1, flags)
+        yield rows.loc[rows["flags"] != 0, ["okey", "th", "run", "flags"]]
+
+
+def _judge_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(h, sh, flags) of different stretches (g, h, sh, low, s) sorted by g."""
+    for rows in _whole_groups(batches, "g"):
+        rows["flags"] = _compared(rows["g"].to_numpy(np.int64), list(rows["s"]), rows["low"].to_numpy(np.int64))
+        yield rows.loc[rows["flags"] != 0, ["h", "sh", "flags"]]
 
 
 def _removed(n_bytes: int, runs: list | None) -> np.ndarray:
@@ -320,13 +361,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"okey": F.coalesce("doc_id", F.lit(LAST).cast("long")), "th": F.xxhash64("text")})
 
 
-def _split(stretches: DataFrame, hot: DataFrame) -> DataFrame:
-    """stretches (h, sh, low, s, at) with `g`, what they meet by: the anchor, or for each side the anchor and the bytes there."""
+MARKS = "okey long, th long, run long, flags long"
+
+
+def _judge_hot(rows: DataFrame) -> DataFrame:
+    """As _judge_rows, for anchors with many rows: equal stretches become one row first, and different ones meet in two parts.
+
+    Within a part all strings have GRAM + BESIDE bytes in common.
+    """
+    rows = rows.withColumn("sh", F.xxhash64("s"))
+    different = rows.groupBy("h", "sh").agg(F.min("okey").alias("low"), F.first("s").alias("s"), F.first("at").alias("at"))
+    different = materialise(different, "hot-stretches")
     before = F.expr(f"CASE WHEN at >= {BESIDE} THEN xxhash64(h, 0, substring(s, at - {BESIDE - 1}, {BESIDE})) END")
     after = F.expr(f"CASE WHEN length(s) >= at + {GRAM + BESIDE} THEN xxhash64(h, 1, substring(s, at + {GRAM + 1}, {BESIDE})) END")
     sides = F.filter(F.array(before, after), lambda g: g.isNotNull())
-    met = stretches.join(hot, F.col("h") == F.col("hot_h"), "left")
-    return met.select("h", "sh", "low", "s", F.explode(F.when(F.col("hot_h").isNull(), F.array("h")).otherwise(sides)).alias("g"))
+    parts = different.select("h", "sh", "low", "s", F.explode(sides).alias("g"))
+    judged = parts.repartition("g").sortWithinPartitions("g").select("g", "h", "sh", "low", "s").mapInPandas(_judge_parts, "h long, sh long, flags long")
+    judged = judged.groupBy(F.col("h").alias("j_h"), F.col("sh").alias("j_sh")).agg(F.bit_or("flags").alias("flags"))
+    known = different.select("h", "sh", "low").join(judged, (F.col("h") == F.col("j_h")) & (F.col("sh") == F.col("j_sh")), "left")
+    known = materialise(known.select(F.col("h").alias("l_h"), F.col("sh").alias("l_sh"), "low", F.coalesce("flags", F.lit(0).cast("long")).alias("flags")), "hot-judged")
+    marked = rows.join(small_side(known), (F.col("h") == F.col("l_h")) & (F.col("sh") == F.col("l_sh")))
+    flags = F.when(F.col("okey") > F.col("low"), F.lit(-1).cast("long")).otherwise(F.col("flags"))
+    return marked.select("okey", "th", "run", flags.alias("flags")).filter("flags <> 0")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -334,29 +390,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     long_enough = keyed.select("okey", "th", "text").filter(f"octet_length(text) >= {LENGTH}")
     found = long_enough.select("okey", "text").mapInPandas(_anchor_rows, "h long, okey long")
-    shared = found.groupBy("h").agg(F.min("okey").alias("low"), F.max("okey").alias("high")).filter("low < high").select("h")
+    shared = found.groupBy("h").agg(F.min("okey").alias("low"), F.max("okey").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n")
     shared = materialise(shared, "anchors")
     held = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-    schema = "h long, sh long, okey long, th long, run long, at int, low long, high long, s binary"
-    passed = long_enough.mapInPandas(_stretch_rows(held), schema)
-    stretches = materialise(passed.join(small_side(shared), "h", "left_semi"), "stretches")
-    # of equal stretches one row with the least doc_id; copies of one stretch do not make an anchor large
-    different = stretches.filter("s is not null").groupBy("h", "sh").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("s").alias("s"), F.first("at").alias("at"))
-    different = materialise(different, "different")
-    hot = different.groupBy(F.col("h").alias("hot_h")).count().filter(F.col("count") > HOT).select("hot_h")
-    by_anchor = _split(different.select("h", "sh", "low", "s", "at"), small_side(materialise(hot, "hot-anchors")))
-    judged = by_anchor.repartition("g").sortWithinPartitions("g").select("g", "h", "sh", "low", "s").mapInPandas(_judge_stretches, "h long, sh long, flags long")
-    judged = judged.groupBy(F.col("h").alias("j_h"), F.col("sh").alias("j_sh")).agg(F.bit_or("flags").alias("flags"))
-    judged = materialise(judged, "judged")
-    known = different.filter("high > low").select(F.col("h").alias("l_h"), F.col("sh").alias("l_sh"), "low")
-    known = known.withColumnRenamed("low", "l_low")
-    places = stretches.select("h", "sh", "okey", "th", "run")
-    places = places.join(judged, (F.col("h") == F.col("j_h")) & (F.col("sh") == F.col("j_sh")), "left").join(known, (F.col("h") == F.col("l_h")) & (F.col("sh") == F.col("l_sh")), "left")
-    # of equal stretches only the first keeps what no other stretch has before it
-    flags = F.when(F.col("okey") > F.col("l_low"), F.lit(-1).cast("long")).otherwise(F.coalesce("flags", F.lit(0).cast("long")))
-    marked = places.select("okey", "th", "run", flags.alias("flags")).filter("flags <> 0")
+    stretches = materialise(long_enough.mapInPandas(_stretch_rows(held), "h long, okey long, th long, run long, at int, s binary"), "stretches")
+    hot = small_side(materialise(shared.filter(F.col("n") > HOT).select(F.col("h").alias("hot_h")), "hot-anchors"))
+    is_hot = F.col("h") == F.col("hot_h")
+    cold = stretches.join(hot, is_hot, "left_anti").select("h", "okey", "th", "run", "s")
+    marked = cold.repartition("h").sortWithinPartitions("h").mapInPandas(_judge_rows, MARKS)
+    marked = materialise(marked, "marks").union(_judge_hot(stretches.join(hot, is_hot, "left_semi")))
     cuts = marked.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("run", "flags")).alias("runs"))
     cuts = materialise(cuts, "cuts")
-    discard(shared, stretches, different, judged)
+    discard(shared, stretches)
     whole = keyed.join(cuts, (F.col("okey") == F.col("r_okey")) & (F.col("th") == F.col("r_th")), "left")
     return whole.select("doc_id", "text", "runs").mapInPandas(_cut, KEPT)

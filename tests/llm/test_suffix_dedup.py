@@ -72,3 +72,28 @@ def test_small_collections_close_at_anchors(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_anchors_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "HELD", 5)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 7)
+    test_matches_brute_force(spark)
+
+
+def test_the_filter_holds_every_anchor(spark):
+    rnd = np.random.default_rng(5)
+    some = rnd.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
+    bits, held = suffix_dedup._filter(spark.createDataFrame([(int(h),) for h in some], "h long"))
+    has = lambda h: [held[s, p >> 3] >> (7 - (p & 7)) & 1 for s, *ps in zip(*suffix_dedup._places(h, bits), strict=True) for p in map(int, ps)]
+    assert all(has(some)) and bits == 1 << 17
+    others = np.array(has(rnd.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64))).reshape(-1, 2).all(axis=1)
+    assert others.mean() < 0.05
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(5, text), (3, text[100_000:100_200]), (4, text[50_000:50_049])]
+    (got,) = [r for r in suffix_dedup.remove_repeats(spark.createDataFrame([(*r, None) for r in rows], SCHEMA)).collect() if r.doc_id == 5]
+    assert [(s.start, s.end) for s in got.spans] == [(100_000, 100_200)] and got.n_bytes == 300_000
