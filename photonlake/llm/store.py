@@ -26,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that a lost executor costs no recomputation.
 
     The shuffle files of the write are of no use after it and are deleted with it.
@@ -36,7 +36,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     table = spark.read.schema(df.schema).parquet(path)

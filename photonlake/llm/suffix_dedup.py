@@ -135,7 +135,7 @@ def _filter(shared: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _stretch_rows(shared):
-    """One row (h, okey, th, run, at, s) per stretch whose anchor passes the filter; run is its place in the text and its number of strings, s its bytes."""
+    """One row (h, okey, th, run, s) per stretch whose anchor passes the filter; run is its place in the text, that of the hashed bytes in it and its number of strings, s its bytes."""
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, held = shared.value
@@ -155,7 +155,7 @@ def _stretch_rows(shared):
                 whole = [data[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
                 d = doc[start]
                 first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[d]
-                yield pd.DataFrame({"h": h, "okey": keys[i:][d], "th": hashes[i:][d], "run": (start - first) << 8 | n, "at": (at - start).astype(np.int32), "s": whole})
+                yield pd.DataFrame({"h": h, "okey": keys[i:][d], "th": hashes[i:][d], "run": (start - first) << 16 | (at - start) << 8 | n, "s": whole})
 
     return rows_of
 
@@ -329,7 +329,7 @@ def _removed(n_bytes: int, runs: list | None) -> np.ndarray:
     """Starts and ends of the maximal removed runs."""
     edge = np.zeros(n_bytes + 1, np.int64)
     for r in runs if runs is not None else ():
-        first, n, flags = int(r["run"]) >> 8, int(r["run"]) & 255, int(r["flags"])
+        first, n, flags = int(r["run"]) >> 16, int(r["run"]) & 255, int(r["flags"])
         if flags == -1:
             edge[first] += 1
             edge[first + n + LENGTH - 1] -= 1
@@ -369,7 +369,7 @@ def _judge_hot(rows: DataFrame) -> DataFrame:
 
     Within a part all strings have GRAM + BESIDE bytes in common.
     """
-    rows = rows.withColumn("sh", F.xxhash64("s"))
+    rows = rows.withColumns({"sh": F.xxhash64("s"), "at": F.expr("cast(shiftright(run, 8) & 255 as int)")})
     different = rows.groupBy("h", "sh").agg(F.min("okey").alias("low"), F.first("s").alias("s"), F.first("at").alias("at"))
     different = materialise(different, "hot-stretches")
     before = F.expr(f"CASE WHEN at >= {BESIDE} THEN xxhash64(h, 0, substring(s, at - {BESIDE - 1}, {BESIDE})) END")
@@ -393,14 +393,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = found.groupBy("h").agg(F.min("okey").alias("low"), F.max("okey").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n")
     shared = materialise(shared, "anchors")
     held = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-    stretches = materialise(long_enough.mapInPandas(_stretch_rows(held), "h long, okey long, th long, run long, at int, s binary"), "stretches")
+    stretches = materialise(long_enough.mapInPandas(_stretch_rows(held), "h long, okey long, th long, run long, s binary"), "stretches", "zstd")
     hot = small_side(materialise(shared.filter(F.col("n") > HOT).select(F.col("h").alias("hot_h")), "hot-anchors"))
     is_hot = F.col("h") == F.col("hot_h")
     cold = stretches.join(hot, is_hot, "left_anti").select("h", "okey", "th", "run", "s")
     marked = cold.repartition("h").sortWithinPartitions("h").mapInPandas(_judge_rows, MARKS)
-    marked = materialise(marked, "marks").union(_judge_hot(stretches.join(hot, is_hot, "left_semi")))
+    marked = materialise(marked, "marks")
+    marked = marked.union(materialise(_judge_hot(stretches.join(hot, is_hot, "left_semi")), "hot-marks"))
+    discard(shared, stretches)
     cuts = marked.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("run", "flags")).alias("runs"))
     cuts = materialise(cuts, "cuts")
-    discard(shared, stretches)
     whole = keyed.join(cuts, (F.col("okey") == F.col("r_okey")) & (F.col("th") == F.col("r_th")), "left")
     return whole.select("doc_id", "text", "runs").mapInPandas(_cut, KEPT)
