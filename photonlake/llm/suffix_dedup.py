@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from photonlake.llm.store import discard, materialise, small_side
 
 LENGTH = 50
-GRAM = 32
+GRAM = 24
 #: Bytes that a string of LENGTH has beside the hashed ones, on its longer side at least.
 BESIDE = (LENGTH - GRAM + 1) // 2
 #: Stretches above which an anchor's rows are brought together by content first and split by what stands beside.
@@ -55,6 +55,19 @@ LAST = (1 << 63) - 1
 _PRIME = 0x9E3779B97F4A7C15
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on, put together from hashes of 1, 2, 4, .. bytes."""
+    part, size, out, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while done < GRAM:
+        if GRAM & size:
+            out = part if out is None else out[: len(out) - size] * np.uint64(pow(_PRIME, size, 1 << 64)) + part[done : done + len(out) - size]
+            done += size
+        if done < GRAM:
+            part = part[:-size] * np.uint64(pow(_PRIME, size, 1 << 64)) + part[size:]
+            size *= 2
+    return out
+
+
 def anchors(data: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first, n, at) of every stretch: n strings that start from byte `first` on have the same anchor, hashed from byte `at` on.
 
@@ -63,10 +76,7 @@ def anchors(data: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none
-    h, span = data.astype(np.uint64) + np.uint64(1), 1
-    while span < GRAM:
-        h = h[:-span] * np.uint64(pow(_PRIME, span, 1 << 64)) + h[span:]
-        span *= 2
+    h = _grams(data)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(_PRIME)
     h ^= h >> np.uint64(32)
     least, at, width, window = h, np.arange(len(h), dtype=np.int32), 1, length - GRAM + 1
