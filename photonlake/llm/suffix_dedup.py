@@ -335,19 +335,18 @@ def _judge_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.loc[rows["flags"] != 0, ["h", "sh", "flags"]]
 
 
-def _removed(n_bytes: int, runs: list | None) -> np.ndarray:
+def _removed(n_bytes: int, run: np.ndarray | None, flags: np.ndarray | None) -> np.ndarray:
     """Starts and ends of the maximal removed runs."""
     edge = np.zeros(n_bytes + 1, np.int64)
-    for r in runs if runs is not None else ():
-        first, n, flags = int(r["run"]) >> 16, int(r["run"]) & 255, int(r["flags"])
-        if flags == -1:
-            edge[first] += 1
-            edge[first + n + LENGTH - 1] -= 1
-            continue
-        for i in range(n):
-            if flags >> i & 1:
-                edge[first + i] += 1
-                edge[first + i + LENGTH] -= 1
+    if run is not None and len(run):
+        first, n = run >> 16, run & 255
+        whole = flags == -1
+        np.add.at(edge, first[whole], 1)
+        np.add.at(edge, first[whole] + n[whole] + LENGTH - 1, -1)
+        part, bit = np.nonzero(flags[~whole][:, None] >> np.arange(LENGTH) & 1)
+        start = first[~whole][part] + bit
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + LENGTH, -1)
     covered = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
     return np.flatnonzero(np.diff(covered)).reshape(-1, 2)
 
@@ -358,9 +357,9 @@ KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kep
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
+        for doc, text, run, flags in zip(pdf["doc_id"], pdf["text"], pdf["run"], pdf["flags"], strict=True):
             data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            spans = _removed(len(data), runs)
+            spans = _removed(len(data), run, flags)
             edges = [0, *spans.ravel().tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             rows.append((doc, len(data), [{"start": int(a), "end": int(b)} for a, b in spans], kept))
@@ -412,6 +411,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marked = marked.union(materialise(_judge_hot(stretches.join(hot, is_hot, "left_semi")), "hot-marks"))
     discard(shared, stretches)
     cuts = marked.groupBy(F.col("okey").alias("r_okey"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("run", "flags")).alias("runs"))
-    cuts = materialise(cuts, "cuts")
+    cuts = materialise(cuts.select("r_okey", "r_th", F.col("runs.run").alias("r_run"), F.col("runs.flags").alias("r_flags")), "cuts")
     whole = keyed.join(cuts, (F.col("okey") == F.col("r_okey")) & (F.col("th") == F.col("r_th")), "left")
-    return whole.select("doc_id", "text", "runs").mapInPandas(_cut, KEPT)
+    return whole.select("doc_id", "text", F.col("r_run").alias("run"), F.col("r_flags").alias("flags")).mapInPandas(_cut, KEPT)
