@@ -34,7 +34,7 @@ from math import gcd, lcm
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photonlake.llm.store import materialise
+from photonlake.llm.store import BROADCAST_BYTES, materialise
 
 BLOCK_DOCS = 8
 #: Target weights of the registered query; every source not named here has weight 1.
@@ -112,14 +112,10 @@ def _schedules(sources: DataFrame, spread: bool = False) -> DataFrame:
     return plan.select(F.expr("s[p.i].src").alias("src"), F.col("f").alias("first_frame"), F.col("p.k").alias("k"), F.col("slot").cast("long").alias("slot"), "start", "slots")
 
 
-def _block_places(sources: DataFrame, spread: bool = False) -> DataFrame:
-    """(b_src, block, place): the slot of every block in the whole order."""
-    plan = materialise(_schedules(sources, spread), "schedules")
-    frames = plan.select("first_frame").distinct().agg(F.collect_list("first_frame").alias("firsts"))
-    blocks = sources.filter("n > 0").select("src", "a", F.explode(F.expr("sequence(0L, n - 1)")).alias("block")).join(F.broadcast(frames))
-    blocks = blocks.withColumn("frame", F.expr("block div a")).withColumn("k", F.expr("block % a")).withColumn("first_frame", F.expr("array_max(filter(firsts, f -> f <= frame))"))
-    place = F.col("start") + (F.col("frame") - F.col("first_frame")) * F.col("slots") + F.col("slot")
-    return blocks.join(plan, ["src", "first_frame", "k"]).select(F.col("src").alias("b_src"), F.col("block").alias("b_block"), place.alias("place"))
+def _small(sources: DataFrame, name: str) -> DataFrame:
+    """A broadcast hint if the materialised table, which has the column `name` and long ones, has at most BROADCAST_BYTES."""
+    size = sources.agg(F.sum(F.octet_length(name) + 8 * len(sources.columns) + 24)).first()[0] or 0
+    return F.broadcast(sources) if size <= BROADCAST_BYTES else sources
 
 
 def positions(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, block_docs: int = BLOCK_DOCS, frame_slots: int | None = None) -> DataFrame:
@@ -127,9 +123,16 @@ def positions(docs: DataFrame, weights: dict[str, float] | None = None, default_
     ranked = materialise(_ranked(_units(docs)), "ranked")
     counts = ranked.groupBy("src").agg(F.count("*").alias("docs"))
     sources = materialise(quotas(counts, weights or {}, default_weight, block_docs, frame_slots), "sources")
-    places = _block_places(sources, frame_slots is not None)
-    placed = ranked.withColumn("block", F.expr(f"rn div {block_docs}")).join(places, (F.col("src") == F.col("b_src")) & (F.col("block") == F.col("b_block")))
-    return placed.select("src", "doc_id", "th", F.col("place").alias("mix_block"), (F.col("place") * block_docs + F.expr(f"rn % {block_docs}")).alias("mix_position"))
+    plan = materialise(_schedules(sources, frame_slots is not None), "schedules")
+    firsts = plan.select("first_frame").distinct().agg(F.sort_array(F.collect_list("first_frame")).alias("firsts"))  # two for each source at most
+    known = _small(materialise(sources.select(F.col("src").alias("b_src"), "a"), "rates"), "b_src").join(F.broadcast(firsts))
+    # a document's block, its frame and its place in that follow from its rank by arithmetic
+    placed = ranked.join(known, F.col("src") == F.col("b_src")).withColumn("block", F.expr(f"rn div {block_docs}"))
+    placed = placed.withColumn("frame", F.expr("block div a")).withColumn("k", F.expr("block % a")).withColumn("first_frame", F.expr("array_max(filter(firsts, f -> f <= frame))"))
+    slots = _small(plan, "src").select(F.col("src").alias("p_src"), F.col("first_frame").alias("p_first"), F.col("k").alias("p_k"), "start", "slots", "slot")
+    placed = placed.join(slots, (F.col("src") == F.col("p_src")) & (F.col("first_frame") == F.col("p_first")) & (F.col("k") == F.col("p_k")))
+    place = F.col("start") + (F.col("frame") - F.col("first_frame")) * F.col("slots") + F.col("slot")
+    return placed.select("src", "doc_id", "th", place.alias("mix_block"), (place * block_docs + F.expr(f"rn % {block_docs}")).alias("mix_position"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, **limits) -> DataFrame:
