@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.store import materialise, small_side
+from photonlake.llm.store import fresh, materialise, small_side
 from photonlake.llm.text import hash_runs, words_of
 
 SHINGLE_WORDS = 5
@@ -74,6 +74,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_containment: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """docs without the contaminated documents, all columns kept."""
-    bad = materialise(contaminated(docs, benchmark, **limits).select(F.col("doc_id").alias("_pl_id"), F.col("th").alias("_pl_th")).distinct(), "contaminated")
-    hit = docs["doc_id"].cast("long").eqNullSafe(F.col("_pl_id")) & (F.xxhash64(docs["text"]) == F.col("_pl_th"))
+    own_id, own_th = fresh(docs, "_pl_id", "_pl_th")
+    bad = materialise(contaminated(docs, benchmark, **limits).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th)).distinct(), "contaminated")
+    hit = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_th))
     return docs.join(small_side(bad), hit, "left_anti")

@@ -99,7 +99,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """docs with lang_pred and score appended."""
+    """docs with lang_pred and score appended; columns of these names are replaced."""
     names = sorted(profiles)
     index = [(np.sort(profiles[k]), np.argsort(profiles[k], kind="stable")) for k in names]
 
@@ -119,4 +119,4 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
         return pd.DataFrame([nearest(t) for t in texts], columns=["lang_pred", "score"])
 
     found = docs.withColumn("guess_of_text", guess("text"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("guess_of_text.lang_pred").alias("lang_pred"), F.col("guess_of_text.score").alias("score"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], F.col("guess_of_text.lang_pred").alias("lang_pred"), F.col("guess_of_text.score").alias("score"))

@@ -2,13 +2,14 @@
 
 Templates are word sequences (lower-cased letter and digit runs). Every run of GRAM words of a template is hashed by its
 word numbers and winnowed: of each WINDOW neighbouring runs the least hash is kept, with its place, in an inverted index.
-A text's runs are looked up in the index, so any GRAM + WINDOW - 1 words shared with a template are found. Hits on
-nearby diagonals give a candidate; a banded alignment of the whole template against the text around it gives the matched
-words, coverage and spans. Candidates of at least `min_coverage` are reported.
+A text's runs are looked up in the index, so any GRAM + WINDOW - 1 words shared with a template are found. Hits that go on in
+both, with at most GAP words put in between, are chained to a candidate; a banded alignment of the whole template
+against the text around it, as wide as the chain's diagonals are apart, gives the matched words, coverage and spans.
+Candidates of at least `min_coverage` are reported.
 
 Defined results: a null or empty text reports nothing; a text with several notices gives a row for each; a notice that is
-repeated gives a row each time; ties between templates are all reported; a null doc_id is carried; an empty table gives
-an empty result; only doc_id and text are read.
+repeated gives a row each time; ties between templates are all reported; repeated rows are reported alike; texts of any
+length are scanned whole; a null doc_id is carried; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ GRAM = 3
 WINDOW = 2
 MIN_COVERAGE = 0.8
 BAND = 6
+GAP = 60
 SCHEMA = "doc_id long, license string, coverage double, n_matched long, n_template long, start long, end long, spans array<struct<start:long,end:long>>"
 
-#: Notices that texts carry, as commonly worded.
+# Notices that texts carry, as commonly worded, and the warranty paragraphs of the licences that are given whole.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
@@ -56,6 +58,24 @@ TEMPLATES = {
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mit-warranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+        OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+        this software without specific prior written permission.""",
+    "bsd-warranty": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc-warranty": """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR
+        IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "gpl-3.0-warranty": """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -116,6 +136,25 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> lis
     return pairs[::-1]
 
 
+def chains(places: list[tuple[int, int]], gap: int = GAP) -> list[list[tuple[int, int]]]:
+    """Hits (text place, template place), in the order of the text, as chains that go on in both.
+
+    A hit joins the chain that is furthest on in the template, of those that it can go on.
+    """
+    out: list[list[tuple[int, int]]] = []
+    open_chains: list[list[tuple[int, int]]] = []
+    top = max((place for _, place in places), default=0)
+    for at, place in sorted(places):
+        open_chains = [c for c in open_chains if at - c[-1][0] <= gap + top - c[-1][1]]
+        fits = [c for c in open_chains if c[-1][1] < place and 0 < at - c[-1][0] <= gap + place - c[-1][1]]
+        if fits:
+            max(fits, key=lambda c: c[-1][1]).append((at, place))
+        else:
+            open_chains.append([(at, place)])
+            out.append(open_chains[-1])
+    return out
+
+
 def scan(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE, band: int = BAND) -> list[tuple]:
     """(license, coverage, matched words, template words, start, end, spans) of each notice in a text, in code points."""
     lowered = text or ""
@@ -125,20 +164,18 @@ def scan(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE, ban
     if not len(hit):
         return []
     where = [m.span() for m in _WORD.finditer(lowered)]
-    shifts: dict[int, set[int]] = defaultdict(set)
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for at in hit:
         for t, place in index.places[int(codes[at])]:
-            shifts[t].add(int(at) - place)
+            hits[t].append((int(at), place))
     found = []
-    for t, diagonals in sorted(shifts.items()):
-        template, groups = index.words[t], []
-        for s in sorted(diagonals):
-            if groups and s - groups[-1][0] <= band:
-                groups[-1].append(s)
-            else:
-                groups.append([s])
-        for group in groups:
-            pairs = align(template, ids, group[len(group) // 2], band + len(template) // 20)
+    for t, places in sorted(hits.items()):
+        template = index.words[t]
+        for chain in chains(places):
+            diagonals = [at - place for at, place in chain]
+            low, high = min(diagonals), max(diagonals)
+            centre, reach = (low + high) // 2, (high - low + 1) // 2 + band + len(template) // 20
+            pairs = align(template, ids, centre, reach)
             if len(pairs) < min_coverage * len(template):
                 continue
             places, spans = [at for _, at in pairs], []

@@ -74,4 +74,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_bands, op3_langid, op4_context_mixing, op5_toxicity, op6_license_scan, op7_simhash_dedup, op8_decontamination, op9_suffix_dedup, op10_mixing)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Operators that are more than SQL can express are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": """WITH items AS (SELECT item_id, md5(coalesce(text, '')) ik, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        sized AS (SELECT *, least(len(w), 5) l FROM items WHERE len(w) > 0),
+        wanted AS (SELECT DISTINCT item_id, ik, l, array_to_string(w[i:i + l - 1], ' ') s FROM sized, unnest(range(1, len(w) - l + 2)) t(i)),
+        sizes AS (SELECT item_id, ik, count(*) n_shingles FROM wanted GROUP BY ALL),
+        docs AS (SELECT DISTINCT doc_id, md5(text) th, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+        runs AS (SELECT DISTINCT doc_id, th, l, array_to_string(w[i:i + l - 1], ' ') s FROM docs, (SELECT DISTINCT l FROM sized), unnest(range(1, len(w) - l + 2)) t(i)),
+        met AS (SELECT doc_id, th, item_id, ik, count(*) n_shared FROM runs JOIN wanted USING (l, s) GROUP BY ALL)
+      SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles containment FROM met JOIN sizes USING (item_id, ik) WHERE n_shared >= 0.8 * n_shingles""",
+}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from photonlake.llm.graph import connected_components
-from photonlake.llm.store import discard, materialise, small_side
+from photonlake.llm.store import discard, fresh, materialise, small_side
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -123,10 +123,11 @@ def keep_one(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     # one row per fingerprint first, so that a group of copies is small before its rows meet
     per_print = prints.groupBy("fp").agg(F.min(rank).alias("best"))
     best = per_print.join(groups, F.col("fp") == F.col("cfp")).groupBy("component").agg(F.min("best").alias("best"))
-    stay = materialise(best.select(F.col("best.doc_id").alias("_pl_id"), F.col("best.th").alias("_pl_th"), F.col("best.n").alias("_pl_n")), "stay")
+    own_id, own_th, copies = fresh(docs, "_pl_id", "_pl_th", "_pl_n")
+    stay = materialise(best.select(F.col("best.doc_id").alias(own_id), F.col("best.th").alias(own_th), F.col("best.n").alias(copies)), "stay")
     discard(prints)
-    hit = docs["doc_id"].cast("long").eqNullSafe(stay["_pl_id"]) & (F.xxhash64(docs["text"]) == stay["_pl_th"])
+    hit = docs["doc_id"].cast("long").eqNullSafe(stay[own_id]) & (F.xxhash64(docs["text"]) == stay[own_th])
     kept = docs.join(small_side(stay), hit, "inner")
     # only rows that repeat both have to meet once more
     own = [docs[c] for c in docs.columns]
-    return kept.filter(stay["_pl_n"] == 1).select(*own).union(kept.filter(stay["_pl_n"] > 1).dropDuplicates(["_pl_id", "_pl_th"]).select(*own))
+    return kept.filter(stay[copies] == 1).select(*own).union(kept.filter(stay[copies] > 1).dropDuplicates([own_id, own_th]).select(*own))

@@ -61,3 +61,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if df, a materialised table of fixed-width columns, has at most `limit` bytes; else df for a shuffled join."""
     width = row_bytes(df.schema)
     return F.broadcast(df) if width and df.count() * width <= limit else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photonlake.llm.store import materialise
+
 BUCKETS = 1 << 18
 DIMENSION = 8
 NGRAMS = (3, 4, 5, 6)
@@ -188,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("l_id"), "l_id").limit(MAX_PER_LABEL) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("l_id")).select("doc_id", "toxic", "text")
+    texts = materialise(texts, "labelled-texts")  # read once a round
     weights, shared = None, None
     for _ in range(ROUNDS):
         found = texts.mapInPandas(_sampler(shared), SAMPLED).toPandas()
@@ -222,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, column: str = "toxicity") -> DataFrame:
-    """docs with a score column (0 to 1) appended; every window of every text is scored."""
+    """docs with a score column (0 to 1) appended; every window of every text is scored. A column of that name is replaced."""
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -209,3 +209,125 @@ def test_subwords_are_the_ngrams_inside_words():
     count = [sum(max(0, len(t) - n + 1) for n in toxicity.NGRAMS) for t in text]
     assert np.bincount(at).tolist() == count
     assert set(toxicity.subwords([b"xyzw"])[0]) == set(ids[at == 1])
+
+
+def test_bands_follow_the_corpus(spark):
+    """Symbol junk and a repetitive chunk are rejected, prose of each length is kept, and the bands are those of a plain fit."""
+    rnd = random.Random(12)
+    clean = [(i, prose(rnd, n)) for i, n in enumerate([60, 70, 80, 200, 210, 230, 800, 820, 850] * 40)]
+    junk = [(10_000 + i, " ".join(w + rnd.choice(("***", "###", "&&&", "%%%")) for w in prose(rnd, n).split())) for i, n in enumerate([70, 210, 820] * 5)]
+    mixed = [(20_000, prose(rnd, 800) + " ab" * 900)]
+    rows = [*clean, *junk, *mixed, (30_000, None), (30_001, ""), (None, prose(rnd, 210)), clean[0], (30_002, prose(rnd, 60_000))]
+    got = quality_bands.judge(frame(spark, rows).selectExpr("*", "1 as kept", "2 as ratio"))
+    by = {r.doc_id: r for r in got.collect()}
+    assert sum(by[d].kept for d, _ in clean) >= 0.99 * len(clean) and by[None].kept
+    assert sum(by[d].kept for d, _ in junk) == 0
+    assert not by[20_000].kept and by[30_000].reason == "base" and by[30_002].n_words == 60_000
+    c = zstandard.ZstdCompressor(level=3)
+    plain = {}
+    for d, t in rows:
+        n, r, _ = quality_bands.ratios(t, c)
+        if r is not None and not by[d].base_failed:
+            plain.setdefault(quality_bands.length_class(n), []).append(round(r, 3))
+    measured = spark.createDataFrame([(by[d].base_failed, n, quality_bands.length_class(n) if n else 0, r, ch) for d, t in rows for n, r, ch in [quality_bands.ratios(t, c)]], "base_failed boolean, n_bytes long, size_class int, ratio double, chunks array<struct<n:int,r:double>>")
+    fitted = quality_bands.fit(measured)
+    for k, values in plain.items():
+        if len(values) < quality_bands.MIN_CLASS:
+            assert k not in fitted
+            continue
+        values.sort()
+        a, m, b = (values[int(np.ceil(q * len(values))) - 1] for q in (0.25, 0.5, 0.75))
+        s = max((b - a) / 1.349, quality_bands.LEAST_SPREAD)
+        assert np.allclose(fitted[k], (m - 3 * s, m + 6 * s))
+    assert quality_bands.judge(frame(spark, [])).count() == 0
+
+
+def test_languages_of_very_long_texts_and_clashing_columns(spark):
+    profiles = langid.learn(frame(spark, language_rows(120, 1)))
+    long = " ".join(LANGUAGES["fr"].split() * 8000)
+    df = frame(spark, [(1, long), (None, "der die das und nicht eine über müssen"), (1, long)]).selectExpr("*", "1 as score", "2 as lang_pred", "3 as guess_of_text")
+    got = langid.predict(df.drop("guess_of_text"), profiles)
+    assert got.columns == ["doc_id", "text", "lang", "source", "lang_pred", "score"]
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in got.collect()) == [(0, "de"), (1, "fr"), (1, "fr")]
+    assert langid.predict(df.limit(0), profiles).count() == 0
+
+
+def plain_toxicity(text, model):
+    """Every window of two blocks of words, subword by subword."""
+    weight, slope, intercept = model
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").lower().encode())
+    blocks = [words[i : i + toxicity.BLOCK_WORDS] for i in range(0, len(words), toxicity.BLOCK_WORDS)]
+    windows = [a + b for a, b in zip(blocks, blocks[1:], strict=False)] or blocks
+    best = None
+    for window in windows:
+        values = []
+        for w in window:
+            marked = b" " + w + b" "
+            for n in toxicity.NGRAMS:
+                for i in range(len(marked) - n + 1):
+                    h = 0
+                    for c in marked[i : i + n]:
+                        h = (h * 0x9E3779B97F4A7C15 + c + 1) % (1 << 64)
+                    values.append(weight[((h ^ h >> 29) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 46])
+        if values:
+            best = max(best, float(np.mean(values))) if best is not None else float(np.mean(values))
+    return 0.0 if best is None else 1 / (1 + np.exp(-(slope * best + intercept)))
+
+
+def test_toxicity_scores_match_plain_loops(spark):
+    rnd, g = random.Random(4), np.random.default_rng(4)
+    model = g.normal(0, 2, toxicity.BUCKETS).astype(np.float32), 1.7, -0.4
+    rows = [(i, prose(rnd, n)) for i, n in enumerate([1, 2, 7, 8, 9, 16, 17, 40, 200])] + [(20, "é!! ß-ü"), (21, None), (22, "... "), (None, prose(rnd, 30)), (0, prose(rnd, 5)), (23, "x")]
+    for r in toxicity.score(frame(spark, rows), model).collect():
+        assert abs(r.toxicity - plain_toxicity(r.text, model)) < 1e-6
+
+
+def test_null_labelled_texts_do_not_train(spark, toxic_rows):
+    rows, labels = toxic_rows
+    docs = frame(spark, [*rows[:120], (900, None), (901, "")])
+    marks = spark.createDataFrame([*labels[:120], (900, 1), (901, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert [r.toxicity for r in toxicity.score(frame(spark, [(900, None), (901, "")]), model).collect()] == [0.0, 0.0]
+
+
+def plain_common(a, b):
+    """The length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_licences_with_words_put_in_left_out_and_replaced():
+    index, rnd = license_scan.Index(), random.Random(5)
+    found = total = 0
+    for name, text in license_scan.TEMPLATES.items():
+        words = re.findall(r"[^\W_]+", text.lower())
+        if len(words) < 20:
+            continue
+        for kind in ("gap", "replaced"):
+            for _ in range(4):
+                w = list(words)
+                if kind == "gap":
+                    at = rnd.randrange(5, len(w) - 5)
+                    w[at:at] = prose(rnd, rnd.randint(10, 40)).split()
+                else:
+                    for i in rnd.sample(range(len(w)), len(w) // 12):
+                        w[i] = "other"
+                whole = prose(rnd, 30).split() + w + prose(rnd, 30).split()
+                best = plain_common(words, whole) / len(words)
+                mine = [f for f in license_scan.scan(" ".join(whole), index) if f[0] == name]
+                assert all(f[1] <= best + 1e-9 for f in mine)
+                total += 1
+                found += any(f[1] >= best - 0.03 for f in mine)
+    assert found >= 0.95 * total
+
+
+def test_licence_edge_cases(spark):
+    line = "Released under the MIT License."
+    rows = [(1, None), (2, ""), (None, line), (3, line), (3, line), (4, "word " * 100_000 + line), (5, f"{line}\n{line}")]
+    got = [(r.doc_id, r.license) for r in license_scan.find_licenses(frame(spark, rows).selectExpr("*", "1 as license", "2 as spans")).collect()]
+    assert sorted(got, key=str) == sorted([(None, "mit-line"), (3, "mit-line"), (3, "mit-line"), (4, "mit-line"), (5, "mit-line"), (5, "mit-line")], key=str)
+    assert license_scan.find_licenses(frame(spark, [])).count() == 0
