@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the format.
@@ -27,5 +28,5 @@ def decrypt(payload: bytes, seed: int) -> bytes:
 
 
 def keystream_table(spark: SparkSession, size: int, seed: int = 0) -> DataFrame:
-    """(k, key): the key byte at each phase, `size` rows."""
-    return spark.createDataFrame([(i, int(b)) for i, b in enumerate(keystream(size, seed))], "k long, key long")
+    """(k, key): the key byte at each phase, `size` rows, at most one period of them."""
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(size), "key": keystream(size, seed).astype(np.int64)}))

@@ -92,56 +92,77 @@ def _scan_bytes(s: _State) -> list[bytes]:
         i = j + 2
 
 
+def _lookup(table: dict[tuple[int, int], int]) -> list[tuple[int, int] | None]:
+    """(code length, category) for each 16 bits that may come next."""
+    found: list[tuple[int, int] | None] = [None] * 65536
+    for (length, code), category in table.items():
+        first = code << (16 - length)
+        found[first : first + (1 << (16 - length))] = [(length, category)] * (1 << (16 - length))
+    return found
+
+
 def _differences(stream: bytes, tables: list[dict], count: int) -> list[int]:
     """count differences of each component in turn; what is left of the last byte must be ones."""
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8)).tolist()
-    at, n, out = 0, len(bits), []
+    lookups = {id(t): _lookup(t) for t in tables}
+    each = [lookups[id(t)] for t in tables]
+    total, at, out = 8 * len(stream), 0, []
+    window, base, size = 0, 0, 4096  # bits; a slice of the stream as one integer keeps shifts short
     for _ in range(count):
-        for table in tables:
-            code = length = 0
-            while True:
-                _need(at < n, "Truncated")
-                code, length, at = code << 1 | bits[at], length + 1, at + 1
-                category = table.get((length, code))
-                if category is not None:
-                    break
-                _need(length < 16)
+        for lookup in each:
+            if at + 48 > base + size or not out:
+                base = at & ~7
+                part = stream[base // 8 : base // 8 + size // 8]
+                window = int.from_bytes(part, "big") << (size + 64 - 8 * len(part))
+            found = lookup[(window >> (size + 48 - (at - base))) & 65535]
+            _need(found is not None, "InvalidContainer" if at + 16 <= total else "Truncated")
+            length, category = found
+            extra = 0 if category == 16 else category
+            _need(at + length + extra <= total, "Truncated")
+            at += length + extra
             if category == 16:
                 out.append(-32768)
                 continue
-            _need(at + category <= n, "Truncated")
-            value = 0
-            for b in bits[at : at + category]:
-                value = value << 1 | b
-            at += category
+            value = (window >> (size + 64 - (at - base))) & ((1 << category) - 1)
             out.append(value - (1 << category) + 1 if category and not value >> (category - 1) else value)
-    _need(n - at < 8 and all(bits[at:]))
+    rest = total - at
+    _need(rest < 8 and (not rest or stream[-1] & ((1 << rest) - 1) == (1 << rest) - 1))
     return out
 
 
 def reconstruct(diffs: np.ndarray, kind: int, start: int) -> np.ndarray:
-    """Samples modulo 65,536 of one restart interval (rows, columns, components) under predictor 1 to 7."""
+    """Samples modulo 65,536 of one restart interval (rows, columns, components) under predictor 1 to 7.
+
+    Where a predictor looks at one neighbour of its own row or column only, that is a running sum; only 7 goes sample by sample.
+    """
     d = diffs.astype(np.int64)
     rows, columns, _ = d.shape
+    if kind == 1:
+        d[:, 0] = np.cumsum(d[:, 0], axis=0)
+        return (np.cumsum(d, axis=1) + start) % 65536
+    if kind == 2:
+        d[0] = np.cumsum(d[0], axis=0)
+        return (np.cumsum(d, axis=0) + start) % 65536
+    if kind == 4:
+        return (np.cumsum(np.cumsum(d, axis=0), axis=1) + start) % 65536
     v = np.zeros_like(d)
-    if kind in (1, 2, 4):  # prefix sums
-        if kind == 1:
-            d[:, 0] = np.cumsum(d[:, 0], axis=0)
-            v = np.cumsum(d, axis=1)
-        elif kind == 2:
-            d[0] = np.cumsum(d[0], axis=0)
-            v = np.cumsum(d, axis=0)
-        else:
-            v = np.cumsum(np.cumsum(d, axis=0), axis=1)
-        return (v + start) % 65536
-    for y in range(rows):
-        for x in range(columns):
-            if x and y:
-                a, b, c = v[y, x - 1], v[y - 1, x], v[y - 1, x - 1]
-                guess = {3: c, 5: a + ((b - c) >> 1), 6: b + ((a - c) >> 1), 7: (a + b) >> 1}[kind]
-            else:
-                guess = v[y, x - 1] if x else v[y - 1, x] if y else start
-            v[y, x] = (guess + d[y, x]) % 65536
+    v[0], v[:, 0] = (np.cumsum(d[0], axis=0) + start) % 65536, (np.cumsum(d[:, 0], axis=0) + start) % 65536
+    if kind == 3:
+        for y in range(1, rows):
+            v[y, 1:] = (v[y - 1, :-1] + d[y, 1:]) % 65536
+    elif kind == 5:
+        for y in range(1, rows):
+            half = (v[y - 1, 1:] - v[y - 1, :-1]) >> 1
+            v[y, 1:] = (v[y, :1] + np.cumsum(half + d[y, 1:], axis=0)) % 65536
+    elif kind == 6:
+        for x in range(1, columns):
+            half = (v[1:, x - 1] - v[:-1, x - 1]) >> 1
+            v[1:, x] = (v[:1, x] + np.cumsum(half + d[1:, x], axis=0)) % 65536
+    else:
+        for y in range(1, rows):
+            above, more, line = v[y - 1].tolist(), d[y].tolist(), v[y].tolist()
+            for x in range(1, columns):
+                line[x] = [((a + b >> 1) + e) & 65535 for a, b, e in zip(line[x - 1], above[x], more[x], strict=True)]
+            v[y] = line
     return v
 
 

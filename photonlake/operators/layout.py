@@ -11,9 +11,13 @@ def to_tiles(px: DataFrame, tile_height: int, tile_width: int, tiles_across: int
     ty, tx = F.expr(f"y div {tile_height}"), F.expr(f"x div {tile_width}")
     place = (F.col("y") % tile_height) * tile_width + F.col("x") % tile_width
     tiled = px.select("image_id", "plane", (ty * tiles_across + tx).alias("tile"), place.cast("int").alias("i"), "code")
-    found = tiled.groupBy("image_id", "plane", "tile").agg(F.map_from_entries(F.collect_list(F.struct("i", "code"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(tile_height * tile_width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(padding)))
-    return found.select("image_id", "plane", "tile", filled.alias("samples"))
+    found = tiled.groupBy("image_id", "plane", "tile").agg(F.collect_list(F.struct("i", "code")).alias("m"))
+    # only tiles at a border lack samples
+    size = tile_height * tile_width
+    lacking = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), F.transform("m", lambda s: s["i"]))
+    filler = F.transform(lacking, lambda i: F.struct(i.alias("i"), F.lit(padding).cast(px.schema["code"].dataType).alias("code")))
+    whole = F.array_sort(F.when(F.size("m") == size, F.col("m")).otherwise(F.concat("m", filler)))
+    return found.select("image_id", "plane", "tile", F.transform(whole, lambda s: s["code"]).alias("samples"))
 
 
 def assemble_tiles(tiles: DataFrame, tile_height: int, tile_width: int, tiles_across: int, height: int, width: int) -> DataFrame:

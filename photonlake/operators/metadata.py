@@ -21,7 +21,23 @@ STATUS = {
     "InvalidTag": 4,
     "InvalidGeometry": 4,
 }
-CALIBRATION_TAGS = {50727: "analog_balance", 50728: "as_shot_neutral", 50729: "as_shot_white_xy", 50721: "color_matrix_1", 50722: "color_matrix_2", 50964: "forward_matrix_1", 50965: "forward_matrix_2"}
+CALIBRATION_TAGS = {
+    50727: "analog_balance",
+    50728: "as_shot_neutral",
+    50729: "as_shot_white_xy",
+    50721: "color_matrix_1",
+    50722: "color_matrix_2",
+    50964: "forward_matrix_1",
+    50965: "forward_matrix_2",
+    52531: "color_matrix_3",
+    52532: "forward_matrix_3",
+    50723: "camera_calibration_1",
+    50724: "camera_calibration_2",
+    52530: "camera_calibration_3",
+    50778: "illuminant_1",
+    50779: "illuminant_2",
+    52529: "illuminant_3",
+}
 
 
 def lookup(key: Column, values: dict) -> Column:

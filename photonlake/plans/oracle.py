@@ -72,7 +72,7 @@ def _sof3_diffs(kind: int) -> str:
       SELECT y, x, ((code - CASE WHEN y = 0 AND x = 0 THEN 2048 WHEN y = 0 THEN a WHEN x = 0 THEN b ELSE {_PREDICT[kind]} END) % 65536 + 65536) % 65536 d FROM n"""
 
 
-KEYSTREAM = """st(k, s) AS (SELECT 0::BIGINT, 51749 % 244944 UNION ALL SELECT k + 1, (((1597 * s) % 4294967296 + 51749) % 4294967296) % 244944 FROM st WHERE k < 4095)"""
+KEYSTREAM = """st(k, s) AS (SELECT 0::BIGINT, 51749 % 244944 UNION ALL SELECT k + 1, (((1597 * s) % 4294967296 + 51749) % 4294967296) % 244944 FROM st WHERE k < 244943)"""
 
 ORACLE_SQL = {
     "plane_stats": f"WITH {PLANES} SELECT plane, max(x)::BIGINT + 1 width, max(y) + 1 height, sum(code)::BIGINT sum, min(code) min, max(code) max FROM pl GROUP BY plane",
@@ -112,7 +112,7 @@ ORACLE_SQL = {
         LEFT JOIN px l ON l.y = a.y AND l.x = a.x - 2 LEFT JOIN px u ON u.x = a.x AND u.y = a.y - 2""",
     "parity_predict_decode": f"WITH {PX} SELECT y, x, code FROM px",
     "prefix_byte_decode": f"WITH {BYTES} SELECT page_id, count(*) n, sum(b)::BIGINT total, sum(b * (i % 251 + 1))::BIGINT weighted, 0::BIGINT wrong FROM bytes GROUP BY page_id",
-    "keystream_xor": f"""WITH RECURSIVE {KEYSTREAM}, {BYTES}, e AS (SELECT page_id, i, xor(b, (s * 256 // 244944)::INT) e FROM bytes JOIN st ON st.k = i % 4096)
+    "keystream_xor": f"""WITH RECURSIVE {KEYSTREAM}, {BYTES}, e AS (SELECT page_id, i, xor(b, (s * 256 // 244944)::INT) e FROM bytes JOIN st ON st.k = (i + page_id * 9973) % 244944)
         SELECT page_id, count(*) n, sum(e)::BIGINT total, sum(e * (i % 251 + 1))::BIGINT weighted FROM e GROUP BY page_id""",
     "pack_12bit": f"WITH {PACKED} SELECT y, i, byte FROM packed",
     "unpack_10bit": f"""WITH {PACKED}, bits AS (SELECT y, i * 8 + k pos, (byte >> (7 - k)) & 1 bit FROM packed, range(8) t(k))

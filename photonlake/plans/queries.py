@@ -214,11 +214,11 @@ def prefix_byte_decode(spark, d):
 
 
 def keystream_xor(spark, d):
-    """Page bytes under the type-2 keystream, by a join with the table of its whole period."""
+    """Page bytes under the type-2 keystream, by a join with the table of its whole period; every page starts at another place of it."""
     from photonlake.functions import cipher
 
-    ks = F.broadcast(cipher.keystream_table(spark, 4096))  # a bound fixed by the query, of two narrow columns
-    b = _page_bytes(spark, d).withColumn("at", F.col("i") % 4096)
+    ks = F.broadcast(cipher.keystream_table(spark, cipher.MODULUS))  # the period: a bound fixed by the format, of two narrow columns
+    b = _page_bytes(spark, d).withColumn("at", (F.col("i") + F.col("page_id") * 9973) % cipher.MODULUS)
     out = b.join(ks, b["at"] == ks["k"]).withColumn("e", F.col("b").bitwiseXOR(F.col("key")))
     return out.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("e").alias("total"), F.sum(F.col("e") * (F.col("i") % 251 + 1)).alias("weighted"))
 
@@ -397,9 +397,10 @@ def codec_names(spark, d):
 
 
 def ifd_pivot(spark, d):
-    ids = [*metadata.CALIBRATION_TAGS]
+    """The first seven calibration tags, in rows of lineitem; plans/decoded.py has all of them in files."""
+    ids = [*metadata.CALIBRATION_TAGS][:7]
     tags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.expr("case when l_linenumber = 7 then 1 else 0 end").alias("dir_ord"), F.element_at(F.array(*map(F.lit, ids)), F.col("l_linenumber")).alias("tag_id"), F.col("l_partkey").alias("value"))
-    return metadata.pivot_tags(tags, metadata.CALIBRATION_TAGS)
+    return metadata.pivot_tags(tags, {t: metadata.CALIBRATION_TAGS[t] for t in ids})
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from photonlake.functions import cipher
 from photonlake.functions.entropy import Codebook
@@ -168,3 +169,19 @@ def entry_table(sections: DataFrame) -> DataFrame:
             yield frame(rows, ENTRY_SCHEMA)
 
     return sections.select("path", "camf").mapInPandas(run, ENTRY_SCHEMA)
+
+
+def values_of(entries_df: DataFrame, name: str, size: int | None = None) -> DataFrame:
+    """(path, vals, error) of a named matrix of each calibration; with `size` its number of values must be exactly that."""
+    found = F.max(F.when((F.col("name") == name) & (F.col("kind") == "Matrix"), F.col("vals")))
+    rows = entries_df.groupBy("path").agg(found.alias("vals"), F.max("error").alias("error"))
+    fits = F.col("vals").isNotNull() if size is None else F.size("vals") == size
+    error = F.coalesce("error", F.when(fits, F.lit(None)).otherwise("InvalidContainer"))
+    return rows.select("path", F.when(error.isNull(), F.col("vals")).alias("vals"), error.alias("error"))
+
+
+def property_of(entries_df: DataFrame, name: str, key: str) -> DataFrame:
+    """(path, value, error) of a key of a named property table of each calibration."""
+    found = F.max(F.when((F.col("name") == name) & (F.col("kind") == "Properties"), F.try_element_at("props", F.lit(key))))
+    rows = entries_df.groupBy("path").agg(found.alias("value"), F.max("error").alias("error"))
+    return rows.select("path", "value", F.coalesce("error", F.when(F.col("value").isNull(), F.lit("InvalidContainer"))).alias("error"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from photonlake.functions import opcode_list, sof3
+from photonlake.operators.metadata import CODEC
 from photonlake.operators.normalize import CORRECTED, OUT_OF_CODES, OUTSIDE, SATURATED, Levels
 from photonlake.operators.opcodes import STAGE_CODES, STAGE_LINEAR, Opcode, processing
 from photonlake.sources import tiff
@@ -17,7 +18,7 @@ from photonlake.sources.errors import DecodeError, Limits, guarded
 from photonlake.sources.rows import frame
 
 IMAGE_SCHEMA = """path string, width long, height long, active_area array<int>, valid_area array<int>, crop_origin array<double>, crop_size array<double>, orientation int,
-    states map<string,string>, error string"""
+    states map<string,string>, legacy_error string, error string"""
 LINEAR_SCHEMA = "path string, y int, width int, samples array<float>, codes array<int>, flags array<int>"
 MASK_SCHEMA = "path string, ifd_offset long, width int, height int, name string, instance_id string, sub_area array<long>, samples binary, error string"
 NEWEST = [1, 7, 1, 0]
@@ -233,30 +234,62 @@ def linearized(image: Image, samples: np.ndarray) -> np.ndarray:
     return np.asarray(image.lut, np.float64)[place]
 
 
-def decode(image: Image) -> dict:
-    """The linear image with codes, flags, the valid area and the state of each correction."""
+def decode(image: Image, linear: bool = True) -> dict:
+    """Codes with their flags, and the linear image unless left out, with the valid area and the state of each correction."""
     samples = codes(image)
     f, (top, left, bottom, right) = image.facts, image.area
-    flags = np.where(samples >= (1 << f["bits_per_sample"][0]) - 1, OUT_OF_CODES, 0) | np.where(linearized(image, samples) >= np.asarray(image.levels.white), SATURATED, 0)
     outside = np.ones(image.size, bool)
     outside[top:bottom, left:right] = False
+    flags = np.where(samples >= (1 << f["bits_per_sample"][0]) - 1, OUT_OF_CODES, 0) | np.where(linearized(image, samples) >= np.asarray(image.levels.white), SATURATED, 0)
     flags |= np.where(outside, OUTSIDE, 0)[:, :, None]
+    valid, states = outlook(image)
+    if any(states[f"opcode_list_{k}"] in ("Applied", "PartiallyApplied") for k in (1, 2, 3)):
+        flags |= CORRECTED
+    done = {"codes": samples, "flags": flags, "valid_area": valid, "states": states}
+    if not linear:
+        return done
     work = samples.astype(np.float32)
+    if image.opcodes[0]:
+        opcode_list.apply_image(work, image.opcodes[0][0], (0, 0, *image.size), STAGE_CODES)
+    v = normalized(image, work)
+    stage = (0, 0, bottom - top, right - left)
+    for found in image.opcodes[1:]:
+        if found:
+            stage = opcode_list.apply_image(v, found[0], stage, STAGE_LINEAR, (top, left))
+    return done | {"linear": v}
+
+
+def _trimmed(ops: list[Opcode], stage: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    for op in ops:
+        if op.kind == "trim":
+            new = op.area.bounds
+            if new[0] < stage[0] or new[1] < stage[1] or new[2] > stage[2] or new[3] > stage[3]:
+                raise DecodeError("InvalidGeometry")
+            stage = new
+    return stage
+
+
+def outlook(image: Image) -> tuple[tuple[int, int, int, int], dict[str, str]]:
+    """The valid area that the opcode lists leave and the state of each correction, without decoding a sample."""
+    top, left, bottom, right = image.area
     lists = image.opcodes
     if lists[0]:
-        t, le, b, r = opcode_list.apply_image(work, lists[0][0], (0, 0, *image.size), STAGE_CODES)
+        t, le, b, r = _trimmed(lists[0][0], (0, 0, *image.size))
         if t > top or le > left or b < bottom or r < right:
             raise DecodeError("InvalidGeometry")
-    linear = normalized(image, work)
     stage = (0, 0, bottom - top, right - left)
     for found in lists[1:]:
         if found:
-            stage = opcode_list.apply_image(linear, found[0], stage, STAGE_LINEAR, (top, left))
+            stage = _trimmed(found[0], stage)
     states = [processing(len(x[0]) + x[1], x[1]) if x else "NotPresent" for x in lists]
-    if any(s in ("Applied", "PartiallyApplied") for s in states):
-        flags |= CORRECTED
-    valid = (stage[0] + top, stage[1] + left, stage[2] + top, stage[3] + left)
-    return {"linear": linear, "codes": samples, "flags": flags, "valid_area": valid, "states": _states(image, states)}
+    return (stage[0] + top, stage[1] + left, stage[2] + top, stage[3] + left), _states(image, states)
+
+
+def legacy_gate(image: Image) -> None:
+    """The older interface has whole-number geometry only: a trim or a fractional crop is not for it."""
+    fractional = any(v != int(v) for tag in (50719, 50720) for v in image.facts["raw"].numbers(tag) or ())
+    if outlook(image)[0] != image.area or fractional:
+        raise DecodeError("UnsupportedFeature")
 
 
 def _states(image: Image, opcode_states: list[str]) -> dict[str, str]:
@@ -318,7 +351,10 @@ def masks(image: Image) -> list[dict]:
         for i, (start, size) in enumerate(ranges):
             y, x = i // across * th, i % across * tw
             rows = min(th, height - y) if 273 in d.tags else th
-            part = decode_tile(image.data[start : start + size], d.scalar(tiff.COMPRESSION, 1), rows, tw, 1, 8, "<", image.limits)
+            block, compression = image.data[start : start + size], d.scalar(tiff.COMPRESSION, 1)
+            if compression == 7 and frame_marker(block) != 0xC3:
+                compression = 34892
+            part = decode_tile(block, compression, rows, tw, 1, 8, "<", image.limits)
             plane[y : y + th, x : x + tw] = part[: height - y, : width - x, 0]
         sub = d.integers(52536, kinds=(3, 4))
         if sub is not None and any(sub):
@@ -331,40 +367,168 @@ def masks(image: Image) -> list[dict]:
 
 
 def image_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """One row per file: geometry and the state of each correction, or the error. Nothing but the opcode geometry is decoded."""
+    """One row per file: geometry and the state of each correction, or the error. No sample is decoded.
+
+    legacy_error is what the older interface, which knows whole-number geometry only, says of the file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 image, error = guarded(parse, bytes(content), limits)
-                done, error = guarded(decode, image) if image else (None, error)
+                found, error = guarded(outlook, image) if image else (None, error)
                 row = {"path": path, "error": error}
-                if done:
+                if found:
                     raw = image.facts["raw"]
-                    row |= {"width": image.size[1], "height": image.size[0], "active_area": list(image.area), "valid_area": list(done["valid_area"]), "states": done["states"]}
+                    row |= {"width": image.size[1], "height": image.size[0], "active_area": list(image.area), "valid_area": list(found[0]), "states": found[1]}
                     row |= {"crop_origin": raw.numbers(50719), "crop_size": raw.numbers(50720), "orientation": image.facts["orientation"]}
+                    row |= {"legacy_error": guarded(legacy_gate, image)[1]}
                 rows.append(row)
             yield frame(rows, IMAGE_SCHEMA)
 
     return files.select("path", "content").mapInPandas(run, IMAGE_SCHEMA)
 
 
-def linear_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """Scanlines of linear samples, codes and flags; a file that fails has none here and its error in image_table."""
+def linear_table(files: DataFrame, limits: Limits = Limits(), linear: bool = True, with_codes: bool = True, with_flags: bool = True) -> DataFrame:  # noqa: B008
+    """Scanlines of linear samples, codes and flags, each as asked for; a file that fails has none here and its error in image_table."""
+    asked = {"linear": ("samples", linear), "codes": ("codes", with_codes), "flags": ("flags", with_flags)}
+    kept = {k: name for k, (name, wanted) in asked.items() if wanted}
+    schema = ", ".join(c.strip() for c in LINEAR_SCHEMA.split(",") if c.split()[0] in ("path", "y", "width", *kept.values()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 image, _ = guarded(parse, bytes(content), limits)
-                done = guarded(decode, image)[0] if image else None
+                done = guarded(decode, image, linear)[0] if image else None
                 if done:
-                    flat = [done[k].reshape(image.size[0], -1) for k in ("linear", "codes", "flags")]
+                    flat = {name: done[k].reshape(image.size[0], -1) for k, name in kept.items()}
                     for y in range(0, image.size[0], 256):  # a few rows at a time
                         part = slice(y, min(y + 256, image.size[0]))
-                        yield pd.DataFrame({"path": path, "y": range(part.start, part.stop), "width": image.size[1], "samples": list(flat[0][part]), "codes": list(flat[1][part].astype(np.int32)), "flags": list(flat[2][part].astype(np.int32))})
+                        more = {name: list(v[part] if name == "samples" else v[part].astype(np.int32)) for name, v in flat.items()}
+                        yield pd.DataFrame({"path": path, "y": range(part.start, part.stop), "width": image.size[1]} | more)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
 
-    return files.select("path", "content").mapInPandas(run, LINEAR_SCHEMA)
+DESCRIPTION = "path string, classification string, container string, codec int, width long, height long, channels int, error string"
+
+
+def description(data: bytes, limits: Limits = Limits()) -> dict:  # noqa: B008
+    """What a file is and whether it can be decoded: supported, recognized-unsupported or not recognized; broken files are errors."""
+    if data[:4] == b"FOVb":
+        return {"classification": "recognized-unsupported", "container": "X3f"}
+    if len(data) > limits.max_input_bytes:
+        raise DecodeError("ResourceLimit")
+    unknown = {"classification": "not recognized", "container": "Unknown"}
+    if data[:2] not in (b"II", b"MM"):
+        return unknown
+    if len(data) < 8:
+        raise DecodeError("Truncated")
+    if data[:4] in (b"II+\0", b"MM\0+"):
+        return unknown
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise DecodeError("InvalidContainer")
+    facts = tiff.probe(data, limits)
+    if facts["container"] != "Dng":
+        return unknown
+    _, error = guarded(parse, data, limits)
+    if error not in (None, "UnsupportedFormat", "UnsupportedFeature"):
+        raise DecodeError(error)
+    size = {"width": facts["width"], "height": facts["height"], "channels": facts["samples_per_pixel"], "codec": CODEC.get(facts["compression"], 0)}
+    return {"classification": "recognized-unsupported" if error else "supported", "container": "Dng"} | size
+
+
+def description_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """One row per file with its description or error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                found, error = guarded(description, bytes(content), limits)
+                rows.append({"path": path, "error": error} | (found or {}))
+            yield frame(rows, DESCRIPTION)
+
+    return files.select("path", "content").mapInPandas(run, DESCRIPTION)
+
+
+def preview_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """(path, jpeg, error): the first reduced-size JPEG of each file, null without one."""
+    schema = "path string, jpeg binary, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                found, error = guarded(lambda b: preview(tiff.walk(b, limits), b), bytes(content))
+                rows.append({"path": path, "jpeg": found, "error": error})
+            yield frame(rows, schema)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+GAINS = "path string, dir_ord int, tag_id int, points array<int>, spacing array<double>, origin array<double>, weights array<double>, gamma double, gains array<float>, error string"
+
+
+def gain_table(tags: DataFrame) -> DataFrame:
+    """One row per profile gain table of a tag table, which has the byte order in `byte_order`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, k, ident, data, order in zip(pdf["path"], pdf["dir_ord"], pdf["tag_id"], pdf["data"], pdf["byte_order"], strict=True):
+                found, error = guarded(opcode_list.profile_table, int(ident), bytes(data), "<" if order == "II" else ">")
+                rows.append({"path": path, "dir_ord": k, "tag_id": ident, "error": error} | {n: list(v) if isinstance(v, tuple) else v for n, v in (found or {}).items()})
+            yield frame(rows, GAINS)
+
+    return tags.filter("tag_id IN (52525, 52544)").select("path", "dir_ord", "tag_id", "data", "byte_order").mapInPandas(run, GAINS)
+
+
+OPCODES = "path string, list int, ord int, kind string, bounds array<long>, plane int, planes int, pitch array<int>, params array<double>, skipped int, error string"
+
+
+def opcode_table(tags: DataFrame) -> DataFrame:
+    """One row per operation of each opcode list of a tag table, or one per list with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, ident, data in zip(pdf["path"], pdf["tag_id"], pdf["data"], strict=True):
+                which = (51008, 51009, 51022).index(int(ident)) + 1
+                found, error = guarded(opcode_list.parse, bytes(data))
+                if error:
+                    rows.append({"path": path, "list": which, "error": error})
+                for k, op in enumerate(found[0] if found else ()):
+                    a = op.area
+                    rows.append({"path": path, "list": which, "ord": k, "kind": op.kind, "bounds": list(a.bounds), "plane": a.plane, "planes": a.planes, "pitch": list(a.pitch), "params": [float(v) for v in op.params], "skipped": found[1]})
+            yield frame(rows, OPCODES)
+
+    return tags.filter("tag_id IN (51008, 51009, 51022)").select("path", "tag_id", "data").mapInPandas(run, OPCODES)
+
+
+def frame_marker(data: bytes) -> int:
+    """The first of the frame markers C0 to C3 of a JPEG."""
+    if data[:2] != b"\xff\xd8":
+        raise DecodeError("InvalidContainer")
+    at = 2
+    while at < len(data):
+        if data[at] != 0xFF:
+            raise DecodeError("InvalidContainer")
+        while at < len(data) and data[at] == 0xFF:
+            at += 1
+        if at >= len(data):
+            raise DecodeError("Truncated")
+        mark, at = data[at], at + 1
+        if 0xC0 <= mark <= 0xC3:
+            return mark
+        if at + 2 > len(data):
+            raise DecodeError("Truncated")
+        size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2:
+            raise DecodeError("InvalidContainer")
+        at += size
+    raise DecodeError("Truncated")
 
 
 def mask_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008

@@ -9,6 +9,7 @@ from math import isfinite
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from photonlake.sources.errors import DecodeError, Limits, guarded
 from photonlake.sources.rows import frame
@@ -22,7 +23,7 @@ CFA, LINEAR_RAW, MASK = 32803, 34892, 65540
 CHILDREN = (34665, 34853, 40965)
 LARGE = (52525, 52544, 51008, 51009, 51022)
 
-TAG_SCHEMA = "path string, dir_ord int, ifd_offset long, parent_offset long, tag_ord int, tag_id int, field_type int, count long, data binary, error string"
+TAG_SCHEMA = "path string, dir_ord int, ifd_offset long, parent_offset long, tag_ord int, tag_id int, field_type int, count long, data binary, byte_order string, numbers array<double>, text string, error string"
 PROBE_SCHEMA = """path string, container string, version long, byte_order string, dng_version array<int>, dng_backward_version array<int>, width long, height long,
     samples_per_pixel int, bits_per_sample array<int>, compression int, photometric int, sample_format array<int>, planar int, has_strips boolean, has_tiles boolean,
     make string, model string, is_linear_raw boolean, error string"""
@@ -252,6 +253,34 @@ def probe_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
     return files.select("path", "content").mapInPandas(run, PROBE_SCHEMA)
 
 
+def _plain_numbers(tag: Tag) -> list[float] | None:
+    """The components of a short numeric tag; long ones stay bytes."""
+    return guarded(tag.numbers)[0] if tag.count <= 4096 and tag.kind not in (2, 7) else None
+
+
+def root(tags: DataFrame) -> DataFrame:
+    """The tags of each file's first directory."""
+    return tags.filter("dir_ord = 0")
+
+
+def raw(tags: DataFrame) -> DataFrame:
+    """The tags of each file's primary raw directories."""
+    number = lambda t: F.max(F.when(F.col("tag_id") == t, F.element_at("numbers", 1)))
+    kinds = tags.groupBy(F.col("path").alias("r_path"), F.col("dir_ord").alias("r_ord")).agg(number(SUBFILE).alias("subfile"), number(PHOTOMETRIC).alias("photometric"))
+    chosen = kinds.filter((F.col("subfile") == 0) & F.col("photometric").isin(CFA, LINEAR_RAW))
+    return tags.join(chosen.select("r_path", "r_ord"), (F.col("path") == F.col("r_path")) & (F.col("dir_ord") == F.col("r_ord")), "left_semi")
+
+
+def directory(tags: DataFrame, offset: int) -> DataFrame:
+    """The tags of the directory at a file offset."""
+    return tags.filter(F.col("ifd_offset") == offset)
+
+
+def tag(tags: DataFrame, ident: int) -> DataFrame:
+    """The rows of one tag."""
+    return tags.filter(F.col("tag_id") == ident)
+
+
 def tag_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """One row per tag of every directory in visiting order, or one per file with the error."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +292,7 @@ def tag_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa
                     rows.append({"path": path, "error": error})
                 for k, d in enumerate(found or ()):
                     rows += [
-                        {"path": path, "dir_ord": k, "ifd_offset": d.offset, "parent_offset": d.parent, "tag_ord": i, "tag_id": t.id, "field_type": t.kind, "count": t.count, "data": t.data, "error": None}
+                        {"path": path, "dir_ord": k, "ifd_offset": d.offset, "parent_offset": d.parent, "tag_ord": i, "tag_id": t.id, "field_type": t.kind, "count": t.count, "data": t.data, "byte_order": "II" if t.order == "<" else "MM", "numbers": _plain_numbers(t), "text": guarded(t.text)[0] if t.kind == 2 else None, "error": None}
                         for i, t in enumerate(d.tags.values())
                     ]
             yield frame(rows, TAG_SCHEMA)

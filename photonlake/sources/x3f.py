@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from photonlake.functions import exif as jpeg_exif
 from photonlake.functions.entropy import Codebook
+from photonlake.sources.camf import decode as decode_calibration
 from photonlake.sources.camf import parity_planes, u32
 from photonlake.sources.errors import DecodeError, guarded
 from photonlake.sources.rows import frame
@@ -155,3 +156,28 @@ def scanline_table(sections_df: DataFrame, geometry: dict = GEOMETRY) -> DataFra
                     yield pd.DataFrame({"path": path, "plane": plane, "y": range(len(v)), "width": v.shape[1], "samples": list(v), "error": None})
 
     return sections_df.filter("error is null").select("path", "version", "raw").mapInPandas(run, SCANLINES)
+
+
+CALIBRATION = "path string, camf binary, decoded binary, error string"
+
+
+def calibration_table(sections_df: DataFrame) -> DataFrame:
+    """(path, camf, decoded, error): the calibration section and its plain bytes, if its type is the one that the sensor's format has.
+
+    camf.entry_table reads the entries of the rows without an error.
+    """
+
+    def checked(raw: bytes, section: bytes, version: int) -> bytes:
+        if u32(section, 8) != calibration_kind(raw, version):
+            raise DecodeError("InvalidContainer", "calibration type does not match the sensor")
+        return decode_calibration(section)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, version, raw, section in zip(pdf["path"], pdf["version"], pdf["raw"], pdf["camf"], strict=True):
+                found, error = guarded(checked, bytes(raw), bytes(section), int(version))
+                rows.append({"path": path, "camf": None if error else section, "decoded": found, "error": error})
+            yield frame(rows, CALIBRATION)
+
+    return sections_df.filter("error is null").select("path", "version", "raw", "camf").mapInPandas(run, CALIBRATION)

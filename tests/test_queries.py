@@ -4,8 +4,7 @@ import os
 import duckdb
 import pytest
 
-from photonlake.plans.oracle import ORACLE_SQL
-from photonlake.plans.queries import QUERIES
+from photonlake.plans.registry import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from photonlake.sources import camf, dng, files, tiff, x3f
 from photonlake.streaming.files import stream_files
@@ -78,3 +79,64 @@ def test_files_arrive_as_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.container for r in spark.table("arrived").collect()] == ["X3f"]
+
+
+def test_files_are_written_new_and_in_parts(spark, tmp_path):
+    px = spark.createDataFrame([(0, p, y, x, 256 * y + x + p) for p in range(2) for y in range(5) for x in range(3)], "image_id int, plane int, y long, x int, code int")
+    assert files.write_new(files.plane_parts(px), str(tmp_path)) == ["image-0-layer-0.u16le", "image-0-layer-1.u16le"]
+    assert (tmp_path / "image-0-layer-1.u16le").read_bytes() == fx.shorts([256 * y + x + 1 for y in range(5) for x in range(3)])
+    with pytest.raises(Exception, match="exist"):
+        files.write_new(files.plane_parts(px), str(tmp_path))
+    colour = px.filter("plane = 0").selectExpr("image_id", "y", "x", "x * 1.0D as r", "y * 1.0D as g", "0.5D as b")
+    parts = files.pfm_parts(colour, 5, 3)
+    files.write_new(parts.selectExpr("'a.pfm' as name", "ord", "bytes"), str(tmp_path))
+    data = (tmp_path / "a.pfm").read_bytes()
+    assert data == bytes(files.pfm(colour, 5, 3).first().content) and np.frombuffer(data[12:], "<f4")[:4].tolist() == [0, 4, 0.5, 1]
+
+
+def test_calibration_of_another_type_is_an_error(spark):
+    good = [(b"IMA2", b"SECi" + fx.longs([0x20000, 1, 0x25, 4, 4, 0])), (b"CAMF", fx.camf2())]
+    old = [(b"IMA2", b"SECi" + fx.longs([0x20000, 3, 6, 4, 4, 0])), (b"CAMF", fx.camf2())]
+    sections = x3f.section_table(table(spark, new=fx.x3f(good), old=fx.x3f(old, 0x20002)))
+    found = {r.path: r for r in x3f.calibration_table(sections).collect()}
+    assert found["new"].error == "InvalidContainer" and found["new"].decoded is None
+    assert found["old"].error is None and b"hello world" in bytes(found["old"].decoded)
+
+
+def test_sof3_predictors_against_plain_loops():
+    from photonlake.functions import sof3
+    from photonlake.plans import encode
+
+    rng = np.random.default_rng(2)
+    for kind in range(1, 8):
+        for shape, restart, point in (((9, 7, 1), 0, 0), ((8, 5, 3), 4, 2), ((1, 6, 2), 0, 0), ((6, 1, 1), 2, 0)):
+            samples = rng.integers(0, 1 << 16, shape)
+            frame, got = sof3.decode(encode.sof3(samples, 16, kind, restart, point))
+            assert (frame.height, frame.width, len(frame.components)) == shape and (got == samples >> point << point).all()
+
+
+def test_masks_of_lossy_jpeg_are_sent_to_their_codec():
+    assert dng.frame_marker(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0") == 0xC0
+    for broken, kind in ((b"xx", "InvalidContainer"), (b"\xff\xd8\xff", "Truncated"), (b"\xff\xd8\xff\xe0\x00\x01", "InvalidContainer"), (b"\xff\xd8", "Truncated")):
+        assert tiff.guarded(dng.frame_marker, broken)[1] == kind
+
+
+def test_defect_lists_are_checked():
+    from photonlake.operators import stencil
+
+    assert stencil.checked_run_list([1, 1, 99, 3, 98, 0, 2, 2, 97, 0], 3, 4) == [(1, 1), (1, 3), (2, 2)]
+    for bad in ([-1, 0], [3, 0], [0.5, 0], [1], [1, -1], [1, 4, 0, 0], [1, 1.5, 0, 0], [1, 1], [1, 1, 99]):
+        with pytest.raises(ValueError, match="bad-pixel"):
+            stencil.checked_run_list(bad, 3, 4)
+    with pytest.raises(ValueError, match="narrow"):
+        stencil.native_interior(0, 11)
+    assert stencil.native_interior(5, 40) == (6, 17)
+
+
+def test_a_defect_without_a_donor_and_a_wild_colour_are_errors(spark):
+    from photonlake.operators import render, stencil
+
+    px = spark.createDataFrame([(0, 2, y, x, 0.5, 1, 0) for y in range(3) for x in range(3)] + [(1, 2, 0, 0, 0.5, 1, 0), (1, 2, 0, 1, 0.25, 0, 0)], "image_id int, plane int, y long, x int, v double, causes int, clip int")
+    assert [(r.image_id, r.n) for r in stencil.unresolved(stencil.repair(px)).collect()] == [(0, 9)]
+    colours = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, float("inf"), 0.0, 0.0), (2, 0.0, float("nan"), 0.0)], "image_id int, r double, g double, b double")
+    assert sorted(r.image_id for r in render.not_finite(colours).collect()) == [1, 2]
