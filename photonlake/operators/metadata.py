@@ -21,6 +21,8 @@ STATUS = {
     "InvalidTag": 4,
     "InvalidGeometry": 4,
 }
+BYTE_ORDER = {"II": 1, "MM": 2}
+PROVENANCE = {"Unknown": 0, "EstimatedEncodedMaximum": 1, "Calibrated": 2}
 CALIBRATION_TAGS = {
     50727: "analog_balance",
     50728: "as_shot_neutral",

@@ -32,11 +32,6 @@ def parity_decode(diffs: DataFrame, seed: int) -> DataFrame:
     return whole.select("image_id", "plane", "y", "x", code.alias("code"))
 
 
-def in_range(px: DataFrame, value: str = "code", top: int = 65535) -> DataFrame:
-    """Planes with an error where a decoded sample leaves 0..top."""
-    return px.groupBy(*_PLANE).agg(F.when(F.count_if(~F.col(value).between(0, top)) > 0, F.lit("sample out of range")).alias("error"))
-
-
 def _segments(px: DataFrame, restart_rows: int | None) -> DataFrame:
     """seg numbers the restart interval of a row and ly the row within it."""
     if not restart_rows:

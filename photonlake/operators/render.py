@@ -221,7 +221,7 @@ def measure_projection(projected: DataFrame, crop: Sequence[int]) -> DataFrame:
     """Residuals in codes of both modes, over the samples of the crop's interior without a cause, beside how many there are and are left out."""
     (y0, y1), (x0, x1) = stencil.native_interior(crop[1], crop[3]), stencil.native_interior(crop[0], crop[2])
     inside = projected.filter(F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1))
-    unit = F.col("white") - F.col("black")
+    unit = stats.codes_per_unit(F.col("black"), F.expr("cast(round(log2(white + 1)) as int)"))
     residual = lambda c: F.when(F.col("causes") == 0, (F.col(c) - F.col("v")) * unit)
     keys = ["image_id", "plane"]
     counts = inside.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("causes") != 0).alias("excluded"))

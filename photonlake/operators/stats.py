@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,23 @@ def cause_marginals(px: DataFrame, keys: Sequence[str], bits: dict[str, int], ca
     )
 
 
-def codes_per_unit(black: Column, depth: int) -> Column:
+def codes_per_unit(black: Column, depth: Column | int) -> Column:
     """Codes between black and the greatest code."""
-    return F.lit((1 << depth) - 1) - black
+    greatest = F.lit((1 << depth) - 1) if isinstance(depth, int) else F.call_function("shiftleft", F.lit(1), depth) - 1
+    return greatest - black
+
+
+def fnv1a(samples: str) -> Column:
+    """The FNV-1a checksum (hex) of an array<float> column's bits, little-endian; it depends on the order, so one array is one task's work."""
+
+    @F.pandas_udf("string")
+    def checksum(rows: pd.Series) -> pd.Series:
+        data = [np.asarray(r, "<f4").view(np.uint8) for r in rows]
+        out = np.full(len(data), 0xCBF29CE484222325, np.uint64)
+        sizes = np.array([len(r) for r in data])
+        for i in range(int(sizes.max(initial=0))):  # all rows a byte further
+            on = np.flatnonzero(sizes > i)
+            out[on] = (out[on] ^ np.array([data[k][i] for k in on], np.uint64)) * np.uint64(0x100000001B3)
+        return pd.Series([f"{h:016x}" for h in out.tolist()])
+
+    return checksum(samples)

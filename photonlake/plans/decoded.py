@@ -318,7 +318,7 @@ def dng_states(spark, d):
     area = [F.element_at("valid_area", 2).alias("left"), F.element_at("valid_area", 4).alias("right")]
     states = [state(k) for k in ("linearization", "default_crop", "opcode_list_1", "opcode_list_3", "demosaic")]
     turned = F.element_at("states", F.lit("orientation")).alias("orientation_state")
-    return found.select(_image_id(), "width", "height", *area, F.element_at("crop_origin", 1).alias("crop_x"), "orientation", *states, turned, "legacy_error", "error")
+    return found.select(_image_id(), "width", "height", *area, F.element_at("crop_origin", 1).alias("crop_x"), F.element_at("whole_origin", 1).alias("whole_x"), "orientation", *states, turned, "legacy_error", "error")
 
 
 def opcode_lists(spark, d):

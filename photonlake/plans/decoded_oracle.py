@@ -50,7 +50,7 @@ ORACLE_SQL = {
           b AS (SELECT * EXCLUDE (v), CASE WHEN channel >= 1 THEN greatest(-1, least(1, v * (0.5 + (x % 4) / 8.0))) ELSE v END v FROM a)
         SELECT image_id, y, x, channel, round(CASE WHEN channel < 2 THEN greatest(-1, least(1, 0.0625 + 0.75 * v)) ELSE v END + {SHIFT}, 4) v FROM b""",
     "dng_flags": f"""WITH {RGB} SELECT image_id, channel, 8 + CASE WHEN code >= 4095 THEN 1 ELSE 0 END + CASE WHEN 2 * code >= CASE channel WHEN 0 THEN 8064 WHEN 1 THEN 8032 ELSE 8016 END THEN 2 ELSE 0 END flags, count(*) n FROM rgb GROUP BY 1, 2, 3""",
-    "dng_states": f"""WITH {IMAGES} SELECT image_id, 21 width, r height, CASE WHEN image_id % 4 = 0 THEN 1 ELSE 0 END AS "left", CASE WHEN image_id % 4 = 0 THEN 20 ELSE 21 END AS "right", CASE WHEN image_id % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE crop_x, image_id % 8 + 1 orientation,
+    "dng_states": f"""WITH {IMAGES} SELECT image_id, 21 width, r height, CASE WHEN image_id % 4 = 0 THEN 1 ELSE 0 END AS "left", CASE WHEN image_id % 4 = 0 THEN 20 ELSE 21 END AS "right", CASE WHEN image_id % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE crop_x, CASE WHEN image_id % 5 <> 0 THEN 1 END whole_x, image_id % 8 + 1 orientation,
         'Applied' linearization, 'Unapplied' default_crop, 'Applied' opcode_list_1, CASE WHEN image_id % 7 = 0 THEN 'PartiallyApplied' ELSE 'Applied' END opcode_list_3, 'NotPresent' demosaic,
         CASE WHEN image_id % 8 = 0 THEN 'NotPresent' ELSE 'Unapplied' END orientation_state, CASE WHEN image_id % 4 = 0 OR image_id % 5 = 0 THEN 'UnsupportedFeature' END legacy_error, NULL::VARCHAR error FROM im""",
     "opcode_lists": f"""WITH {IMAGES} SELECT image_id, 1 AS "list", 0 AS "ord", 'table' kind, 0 AS "right", 2 plane, 1 planes, 4096 n_params, 8384512.0::DOUBLE total, 0 skipped, NULL::VARCHAR error FROM im

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonlake.operators import render, stencil
+from photonlake.operators import metadata, render, restore, stats, stencil
 from photonlake.plans import encode, virtual
 from photonlake.sources import camf
 
@@ -109,6 +109,42 @@ def measure_projection(spark, d):
     return found.select("plane", "total", "excluded", *[c if c.endswith("_n") else F.round(F.col(c) + 1e-7, 3).alias(c) for c in found.columns if "_" in c and c != "image_id"])
 
 
+def diagnostic_counts(spark, d):
+    """Cause combinations of two populations that are never added up: whole native planes, and the places that both modes are measured at."""
+    layers, _, geometry = _layers(spark, d)
+    bits = stencil.attribute_sources(layers)
+    (y0, y1), (x0, x1) = (stencil.native_interior(crop(geometry)[i], crop(geometry)[i + 2]) for i in (1, 0))
+    native = bits.select(F.lit("native-full-plane").alias("scope"), "plane", F.col("influence").alias("causes"))
+    inside = render.projection(bits, geometry).filter(F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1))
+    common = inside.select(F.lit("projected-common").alias("scope"), "plane", "causes")
+    return stats.cause_counts(native.unionByName(common), ["scope", "plane"])
+
+
+def _restored(transformed: bool, adaptive: bool):
+    def query(spark, d):
+        height = virtual.height(spark, d) // 2 * 2
+        top = virtual.top(spark, d).filter(F.col("y") < height)
+        fine = top.select("image_id", "y", "x", F.col("code").alias("g0"), F.expr("code div 2").alias("g1"), (F.col("code") + 100).alias("g2"), (F.col("code") * 3.0).alias("f"))
+        mean = F.avg("code")
+        coarse = top.groupBy("image_id", F.expr("y div 2").alias("y"), F.expr("cast(x div 2 as int)").alias("x")).agg(mean.alias("r0"), (mean * 0.5).alias("r1"), (mean * 2.5 + 100).alias("r2"), (mean * 2).alias("c0"), (mean + 300).alias("c1"), (5000 - mean).alias("c2"))
+        out = restore.restore(fine, coarse, height, virtual.WIDTH, 4096.0, 0.75, transformed, adaptive)
+        return out.select("y", "x", "r", "g", "b", F.round(F.col("gain") + 1e-9, 5).alias("gain"))
+
+    return query
+
+
+def plane_checksums(spark, d):
+    """FNV-1a of each row's samples as single-precision numbers, and a checksum of the plane that does not depend on order."""
+    rows = virtual.top(spark, d).groupBy("image_id", "plane", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "code"))), lambda s: s["code"].cast("float")).alias("samples"))
+    return rows.select("y", stats.fnv1a("samples").alias("checksum"))
+
+
+def enum_codes(spark, d):
+    """Numbers that stand for byte orders and threshold provenances."""
+    e = virtual.table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, ["II", "MM", "??"])), (F.col("p_partkey") % 3 + 1).cast("int")).alias("order"), F.element_at(F.array(*map(F.lit, [*metadata.PROVENANCE])), (F.col("p_partkey") % 3 + 1).cast("int")).alias("provenance"))
+    return e.select("p_partkey", F.coalesce(metadata.lookup(F.col("order"), metadata.BYTE_ORDER), F.lit(0)).alias("byte_order"), metadata.lookup(F.col("provenance"), metadata.PROVENANCE).alias("provenance"))
+
+
 def autofocus_grid(spark, d):
     """The sites of the fixed grids, row by row: counts and sums of their columns."""
     rows = spark.range(3776).select(F.col("id").alias("y"), F.explode(F.array(F.lit(0), F.lit(2))).alias("plane")).filter("plane = 2 OR y < 1888")
@@ -116,5 +152,6 @@ def autofocus_grid(spark, d):
     return px.filter(stencil.autofocus() != 0).groupBy("plane", "y").agg(F.count("*").alias("n"), F.sum("x").alias("columns"))
 
 
-QUERIES = {f.__name__: f for f in (calibrated_planes, clipping_planes, render_errors, attribute_sources, projection, measure_projection, autofocus_grid)}
+QUERIES = {f.__name__: f for f in (calibrated_planes, clipping_planes, render_errors, attribute_sources, projection, measure_projection, autofocus_grid, diagnostic_counts, plane_checksums, enum_codes)}
 QUERIES |= {"render_guided": _rendered("guided"), "render_bilinear": _rendered("bilinear")}
+QUERIES |= {"restore": _restored(False, False), "restore_adaptive": _restored(False, True), "restore_transformed": _restored(True, False)}

@@ -49,6 +49,26 @@ PROJECTED = f"""{BITS}, {LOW.format("lb")}, {_up("lw", "v", "pu")}, {_fit("lb")}
   pj AS (SELECT u.plane, u.y // 2 y, (u.x // 2)::INT x, avg(u.v) bilinear, avg(f.slope * t.v + f.icpt) guided, bit_or(u.influence | f.influence | t.influence) causes
     FROM pu u JOIN fu f ON f.plane = u.plane AND f.y = u.y AND f.x = u.x JOIN lb t ON t.plane = 2 AND t.y = u.y AND t.x = u.x GROUP BY 1, 2, 3)"""
 
+
+
+def _restored(transformed: bool, adaptive: bool) -> str:
+    power = lambda v: f"pow({v} / 4096.0::DOUBLE, 0.4166666567325592) * 4096.0::DOUBLE"
+    t = "greatest(0.0, least(1.0, (m - 1000) / 9000.0::DOUBLE))"
+    a, tau = ("1.0", "25.0") if transformed else (f"({t} * 3 + 1 - {t})", f"((1 - {t}) * 25 + {t} * 1000)") if adaptive else ("1.0", "(CASE WHEN m <= 1000 THEN 25.0 ELSE m * 25.0 / 1000.0 END)")
+    plain = f"({power('greatest(f, 0)')} + 5) / ({power('b / w')} + 5)" if transformed else "(greatest(f, 0) + 5) / (b / w + 5)"
+    ratio = plain if transformed else f"CASE WHEN f < 11000 OR {plain} >= 1 THEN {plain} ELSE 1 + (1 - greatest(0, least(1, (f - 11000) / 3000.0::DOUBLE))) * ({plain} - 1) END"
+    step = lambda c: "floor(" + (power(f"{c} / w") if transformed else f"{c} / w") + " + 0.5)::INT"
+    inside = "y BETWEEN 5 AND n2 - 5 AND x BETWEEN 5 AND 58"
+    return f"""WITH {SENSOR}, co AS (SELECT y // 2 y, x // 2 x, avg(code) a FROM ps WHERE plane = 2 GROUP BY 1, 2), cc AS (SELECT y, x, a r0, a * 0.5 r1, a * 2.5 + 100 r2, a * 2 c0, a + 300 c1, 5000 - a c2 FROM co),
+        fi AS (SELECT y, x, code g0, code // 2 g1, code + 100 g2, code * 3.0::DOUBLE f, greatest(code, code + 100)::DOUBLE m FROM ps WHERE plane = 2),
+        ne AS (SELECT fi.*, y // 2 + i cy, x // 2 + j cx, exp(-{a} * sqrt((x % 2 * 0.5 - 0.25 - j) ** 2 + (y % 2 * 0.5 - 0.25 - i) ** 2)::DOUBLE) sp FROM fi, range(-2, 3) p(i), range(-2, 3) q(j)),
+        we AS (SELECT ne.*, cc.* EXCLUDE (y, x), sp / (1 + (abs(r0 - g0) + abs(r1 - g1) + abs(r2 - g2)) / {tau}) v, ne.cy = ne.y // 2 AND ne.cx = ne.x // 2 own FROM ne JOIN cc ON cc.y = cy AND cc.x = cx),
+        su AS (SELECT y, x, f, sum(v) w, sum(v * c0) c0, sum(v * c1) c1, sum(v * c2) c2, sum(v * r2) b, max(CASE WHEN own THEN (r0 + r1 - 2 * r2) / greatest(r2, 0.0001) END) chroma FROM we GROUP BY ALL),
+        ra AS (SELECT *, {ratio} ratio, 1 - 0.75 / (exp(7 - 4 * chroma) + 1) s FROM su)
+      SELECT y, x, CASE WHEN {inside} THEN {step("c0")} ELSE 0 END r, CASE WHEN {inside} THEN {step("c1")} ELSE 0 END g, CASE WHEN {inside} THEN {step("c2")} ELSE 0 END b,
+        round(CASE WHEN {inside} THEN greatest(0.001, least(1000, CASE WHEN ratio > 1 THEN 1 + s * (ratio - 1) ELSE 1 / (1 + s * (1 / ratio - 1)) END)) ELSE f END + 1e-9, 5) gain FROM ra, sz"""
+
+
 ORACLE_SQL = {
     "calibrated_planes": f"WITH {LAYERS} SELECT plane, y, x, round(v, 6) v, causes, clip, influence, round(noise, 9) noise FROM la",
     "clipping_planes": f"WITH {LAYERS} SELECT plane, 4095 threshold_code, 'EstimatedEncodedMaximum' provenance, max(x) + 1 width, max(y) + 1 height, sum(clip)::BIGINT clipped FROM la GROUP BY plane",
@@ -65,4 +85,14 @@ ORACLE_SQL = {
         SELECT j.plane, count(*) total, count(*) FILTER (causes <> 0) excluded, max(n) bilinear_n, round(max(bb) + 1e-7, 3) bilinear_bias, round(max(bm) + 1e-7, 3) bilinear_rms, round(max(bp) + 1e-7, 3) bilinear_p95,
           max(n) guided_n, round(max(gb) + 1e-7, 3) guided_bias, round(max(gm) + 1e-7, 3) guided_rms, round(max(gp) + 1e-7, 3) guided_p95 FROM js j LEFT JOIN ok ON ok.plane = j.plane GROUP BY j.plane""",
     "autofocus_grid": """SELECT 2 plane, y + k y, 340 n, (217 + 5641) * 170 AS "columns" FROM range(464, 3313, 32) t(y), range(2) r(k) UNION ALL SELECT 0, y, 340, (108 + 2820) * 170 FROM range(232, 1657, 16) t(y)""",
+    "diagnostic_counts": f"""WITH {PROJECTED}, po AS (SELECT 'native-full-plane' scope, plane, influence causes FROM lb UNION ALL SELECT 'projected-common', plane, causes FROM pj, sz WHERE y BETWEEN 6 AND (n2 - 5 + 1) // 2 - 4 AND x BETWEEN 5 AND 26)
+        SELECT scope, plane, causes, count(*) n, causes <> 0 excluded, bit_count(causes)::INT n_causes FROM po GROUP BY scope, plane, causes""",
+    "restore": _restored(False, False),
+    "restore_adaptive": _restored(False, True),
+    "restore_transformed": _restored(True, False),
+    "plane_checksums": f"""WITH {SENSOR}, li AS (SELECT y, list(b ORDER BY x, k) l FROM (SELECT y, x, k, ('0x' || substr(printf('%08X', bits::BIGINT), 7 - 2 * k, 2))::INT::HUGEINT b FROM (
+          SELECT y, x, CASE WHEN code = 0 THEN 0 ELSE (127 + floor(log2(code))::BIGINT) * 8388608 + (code - (1::BIGINT << floor(log2(code))::INT)) * (8388608 >> floor(log2(code))::INT) END bits FROM px) f, range(4) t(k)) GROUP BY y)
+        SELECT y, format('{{:016x}}', list_reduce(list_prepend(14695981039346656037::HUGEINT, l), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT) checksum FROM li""",
+    "enum_codes": "SELECT p_partkey, ([1, 2, 0])[p_partkey % 3 + 1] byte_order, p_partkey % 3 provenance FROM part",
+    "autofocus_grid": """SELECT 2 plane, y + k y, 340 n, (217 + 5641) * 170 AS "columns" FROM range(464, 3313, 32) t(y), range(2) r(k) UNION ALL SELECT 0, y, 340, (108 + 2820) * 170 FROM range(232, 1657, 16) t(y)""",
 }

@@ -17,7 +17,7 @@ from photonlake.sources import tiff
 from photonlake.sources.errors import DecodeError, Limits, guarded
 from photonlake.sources.rows import frame
 
-IMAGE_SCHEMA = """path string, width long, height long, active_area array<int>, valid_area array<int>, crop_origin array<double>, crop_size array<double>, orientation int,
+IMAGE_SCHEMA = """path string, width long, height long, active_area array<int>, valid_area array<int>, crop_origin array<double>, crop_size array<double>, whole_origin array<long>, whole_size array<long>, orientation int,
     states map<string,string>, legacy_error string, error string"""
 LINEAR_SCHEMA = "path string, y int, width int, samples array<float>, codes array<int>, flags array<int>"
 MASK_SCHEMA = "path string, ifd_offset long, width int, height int, name string, instance_id string, sub_area array<long>, samples binary, error string"
@@ -98,6 +98,21 @@ def _check_ranges(ranges: list[tuple[int, int]], size: int, limits: Limits) -> N
         raise DecodeError("InvalidOffset")
 
 
+def _tile_budget(tile: tuple[int, int], channels: int, count: int, limits: Limits) -> None:
+    """A tile's sides, pixels and samples, and the samples of all tiles together, within the limits."""
+    height, width = tile
+    if height > limits.max_height or width > limits.max_width or height * width > limits.max_pixels:
+        raise DecodeError("ResourceLimit")
+    if height * width * channels > limits.max_frame_samples or height * width * channels * count > limits.max_decoded_samples:
+        raise DecodeError("ResourceLimit")
+
+
+def integral_pair(values: list[float] | None) -> list[int] | None:
+    """Two numbers as whole ones if both are, else nothing."""
+    whole = values is not None and len(values) == 2 and all(v == int(v) and 0 <= v < 1 << 32 for v in values)
+    return [int(v) for v in values] if whole else None
+
+
 def parse(data: bytes, limits: Limits = Limits()) -> Image:  # noqa: B008
     """A validated image, nothing decoded yet."""
     directories = tiff.walk(data, limits)
@@ -141,8 +156,7 @@ def parse(data: bytes, limits: Limits = Limits()) -> Image:  # noqa: B008
     across, down = -(-width // tile[1]), -(-height // tile[0])
     if len(ranges) != across * down * planes:
         raise DecodeError("UnsupportedFeature")
-    if tile[0] * tile[1] * (3 // planes) * len(ranges) > limits.max_decoded_samples:
-        raise DecodeError("ResourceLimit")
+    _tile_budget(tile, 3 // planes, len(ranges), limits)
     _check_ranges(ranges, len(data), limits)
     return Image(data, limits, facts | {"orientation": orientation}, directories, levels, lut, tile, ranges, lists, area)
 
@@ -287,7 +301,8 @@ def outlook(image: Image) -> tuple[tuple[int, int, int, int], dict[str, str]]:
 
 def legacy_gate(image: Image) -> None:
     """The older interface has whole-number geometry only: a trim or a fractional crop is not for it."""
-    fractional = any(v != int(v) for tag in (50719, 50720) for v in image.facts["raw"].numbers(tag) or ())
+    exact = [image.facts["raw"].numbers(tag) for tag in (50719, 50720)]
+    fractional = any(v is not None and integral_pair(v) is None for v in exact)
     if outlook(image)[0] != image.area or fractional:
         raise DecodeError("UnsupportedFeature")
 
@@ -382,7 +397,7 @@ def image_table(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
                 if found:
                     raw = image.facts["raw"]
                     row |= {"width": image.size[1], "height": image.size[0], "active_area": list(image.area), "valid_area": list(found[0]), "states": found[1]}
-                    row |= {"crop_origin": raw.numbers(50719), "crop_size": raw.numbers(50720), "orientation": image.facts["orientation"]}
+                    row |= {"crop_origin": raw.numbers(50719), "crop_size": raw.numbers(50720), "whole_origin": integral_pair(raw.numbers(50719)), "whole_size": integral_pair(raw.numbers(50720)), "orientation": image.facts["orientation"]}
                     row |= {"legacy_error": guarded(legacy_gate, image)[1]}
                 rows.append(row)
             yield frame(rows, IMAGE_SCHEMA)

@@ -140,3 +140,30 @@ def test_a_defect_without_a_donor_and_a_wild_colour_are_errors(spark):
     assert [(r.image_id, r.n) for r in stencil.unresolved(stencil.repair(px)).collect()] == [(0, 9)]
     colours = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, float("inf"), 0.0, 0.0), (2, 0.0, float("nan"), 0.0)], "image_id int, r double, g double, b double")
     assert sorted(r.image_id for r in render.not_finite(colours).collect()) == [1, 2]
+
+
+def test_files_are_inspected_and_dumped(spark, tmp_path):
+    from photonlake import inspect
+    from photonlake.plans import encode
+
+    (tmp_path / "in").mkdir()
+    rng = np.random.default_rng(1)
+    small = {k: rng.integers(0, 4096, s) for k, s in ((0, (2, 2)), (1, (2, 2)), (2, (4, 4)))}
+    entries = encode.text_entry("Tag", "hello") + encode.matrix_entry("Long", 6, [14], range(14))
+    good = encode.container([(b"IMA2", encode.raw_section([small[0], small[1], small[2]], 0x25, (1, 2, 3), False)), (b"CAMF", encode.calibration_section(entries, 5, 9))], 0x40002)
+    (tmp_path / "in" / "a.x3f").write_bytes(good)
+    content = files.read_files(spark, str(tmp_path / "in"))
+    text = inspect.report(content)
+    assert any(line.endswith("Tag\thello") for line in text) and any("[14] [0.0" in line and "11.0]" in line for line in text)
+    assert any(line.endswith("error\tInvalidGeometry") for line in text)  # no camera has so small a sensor
+    assert inspect.dump(content, str(tmp_path)) == ["a.x3f-calibration.bin"] and (tmp_path / "a.x3f-calibration.bin").read_bytes() == entries
+    assert inspect.main([]) == 1
+
+
+def test_tiles_keep_their_budgets():
+    from photonlake.sources.errors import Limits
+
+    data = fx.dng(fx.rgb(2, 1, range(6)))
+    assert tiff.guarded(dng.parse, data, Limits())[1] is None
+    assert tiff.guarded(dng.parse, data, Limits(max_frame_samples=5))[1] == "ResourceLimit"
+    assert dng.integral_pair([1.0, 2.5]) is None and dng.integral_pair([1.0, 2.0]) == [1, 2]
