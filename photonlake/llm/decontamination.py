@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.store import fresh, materialise, small_side
-from photonlake.llm.text import hash_runs, words_of
+from photonlake.llm.text import WORD, hash_runs, words_of
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
@@ -30,7 +30,7 @@ MIN_CONTAINMENT = 0.8
 
 def _items(benchmark: DataFrame, n: int) -> DataFrame:
     """(key, item_id, len, size, hs): the hashed shingle set of each item, with the shingle length it takes."""
-    b = benchmark.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("key"), words_of("text").alias("words")).filter("size(words) > 0").dropDuplicates(["key"])
+    b = benchmark.filter(F.col("text").rlike(WORD)).select(F.col("item_id"), F.xxhash64("item_id", "text").alias("key"), words_of("text").alias("words")).dropDuplicates(["key"])
     sized = b.withColumn("len", F.least(F.size("words"), F.lit(n)))
     whole = F.array(F.xxhash64("words"))
     hs = F.when(F.size("words") < n, whole).otherwise(F.array_distinct(F.expr(hash_runs("words", n))))
@@ -42,7 +42,7 @@ def _doc_shingles(docs: DataFrame, lengths: list[int], n: int) -> DataFrame:
 
     A shorter run is hashed as an array, as whole short items are; xxhash64 chains over columns and array elements alike.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words_of("text").alias("words")).filter("size(words) > 0")
+    d = docs.filter(F.col("text").rlike(WORD)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words_of("text").alias("words"))
     runs = [f"named_struct('len', {k}, 'hs', {hash_runs('words', k)})" for k in lengths]
     by_len = d.select("doc_id", "th", F.explode(F.expr(f"array({', '.join(runs)})")).alias("r"))
     return by_len.select("doc_id", "th", F.col("r.len").alias("len"), F.explode(F.array_distinct("r.hs")).alias("h"))

@@ -111,13 +111,13 @@ class Index:
         return np.where(ok, out, -1)
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> list[tuple[int, int]]:
-    """Matched (template place, text place) pairs of the best alignment within `band` of the diagonal text = template + shift."""
+def align(template: np.ndarray, words: np.ndarray, shift: int, band: int, begin: int = 0) -> list[tuple[int, int]]:
+    """Matched (template place, text place) pairs of the best alignment within `band` of the diagonal text = template + shift, from text place `begin` on."""
     width, n = 2 * band + 1, len(template)
     best = np.zeros((n + 1, width), np.int32)
     for i in range(1, n + 1):
         at = i - 1 + shift + np.arange(-band, band + 1)  # the text word at each offset of the band
-        inside = (at >= 0) & (at < len(words))
+        inside = (at >= begin) & (at < len(words))
         same = inside & (words[np.clip(at, 0, len(words) - 1)] == template[i - 1])
         row = np.where(same, best[i - 1] + 1, 0)
         row = np.maximum(row, np.append(best[i - 1][1:], 0))  # a template word left out
@@ -128,7 +128,7 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> lis
             j -= 1
             continue
         at = i - 1 + shift + j - band
-        if 0 <= at < len(words) and words[at] == template[i - 1] and best[i][j] == best[i - 1][j] + 1:
+        if begin <= at < len(words) and words[at] == template[i - 1] and best[i][j] == best[i - 1][j] + 1:
             pairs.append((i - 1, at))
             i -= 1
         else:
@@ -170,14 +170,15 @@ def scan(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE, ban
             hits[t].append((int(at), place))
     found = []
     for t, places in sorted(hits.items()):
-        template = index.words[t]
+        template, begin = index.words[t], 0
         for chain in chains(places):
             diagonals = [at - place for at, place in chain]
             low, high = min(diagonals), max(diagonals)
             centre, reach = (low + high) // 2, (high - low + 1) // 2 + band + len(template) // 20
-            pairs = align(template, ids, centre, reach)
+            pairs = align(template, ids, centre, reach, begin if chain[0][0] >= begin else 0)
             if len(pairs) < min_coverage * len(template):
                 continue
+            begin = pairs[-1][1] + 1  # the next notice of this sort starts behind this one, unless its hits do not
             places, spans = [at for _, at in pairs], []
             for at in places:
                 if spans and at == spans[-1][1] + 1:
