@@ -193,13 +193,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     texts = materialise(texts, "labelled-texts")  # read once a round
     weights, shared = None, None
     for _ in range(ROUNDS):
-        found = texts.mapInPandas(_sampler(shared), SAMPLED).toPandas()
-        if found["toxic"].nunique() < 2:
-            return None
-        found = found.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        found = texts.mapInPandas(_sampler(shared), SAMPLED).toArrow().sort_by("doc_id")  # as columns: rows would take several times the driver's memory
         label, doc = found["toxic"].to_numpy(), found["doc_id"].to_numpy()
+        if len(np.unique(label)) < 2:
+            return None
         fold = np.array([_fold(d) for d in doc])
-        windows = [bytes(x) for x in found["words"]]
+        windows = found["words"].to_pylist()
         del found
         use = np.ones(len(windows), bool)
         if weights is not None:
