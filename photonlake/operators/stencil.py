@@ -150,7 +150,8 @@ def upsample(px: DataFrame, values: Sequence[str], height: int, width: int) -> D
         line = Window.partitionBy("image_id", "plane", other).orderBy(axis)
         side = lambda f, c: F.coalesce(f(c).over(line), F.col(c))
         half = lambda f: F.struct(*[(F.col(c) * 0.75 + side(f, c) * 0.25).alias(c) for c in values], F.col("influence").bitwiseOR(side(f, "influence")).alias("influence"))
-        wide = df.select("image_id", "plane", other, axis, F.posexplode(F.array(half(F.lag), half(F.lead))).alias("half", "s"))
+        halves = df.select("image_id", "plane", other, axis, F.array(half(F.lag), half(F.lead)).alias("halves"))
+        wide = halves.select("image_id", "plane", other, axis, F.posexplode("halves").alias("half", "s"))
         place = (F.col(axis) * 2 + F.col("half")).cast("long" if axis == "y" else "int")
         return wide.select("image_id", "plane", F.col(other), place.alias(axis), *[F.col(f"s.{c}").alias(c) for c in names])
 
