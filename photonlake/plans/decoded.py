@@ -49,7 +49,9 @@ def _sensor_files(spark: SparkSession, d: str, build: Callable[[int, np.ndarray]
 
 
 def _keyed_files(spark: SparkSession, d: str, build: Callable[[int], bytes]) -> DataFrame:
-    return _built(table(spark, d, "part").select("p_partkey"), "p_partkey", lambda k: build(int(k)))
+    # keys are a few bytes, so a file of them is one task, and what is built of them is not
+    keys = table(spark, d, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return _built(keys, "p_partkey", lambda k: build(int(k)))
 
 
 def _image_id() -> F.Column:
@@ -223,11 +225,13 @@ def tiff_tags(spark, d):
 
 def tiff_lookups(spark, d):
     """The root's, the raw image's and single tags by name."""
-    tags = tiff.tag_table(_keyed_files(spark, d, _tagged))
-    pick = lambda rows, ident, name: tiff.tag(rows, ident).select(F.col("path"), F.element_at("numbers", 1).alias(name))
-    whole = pick(tiff.root(tags), 256, "root_width").join(pick(tiff.raw(tags), 256, "raw_width"), "path").join(pick(tiff.raw(tags), 50717, "white"), "path")
-    whole = whole.join(tiff.directory(tags, 8).groupBy("path").agg(F.count("*").alias("n_root")), "path")
-    return whole.select(_image_id(), "root_width", "raw_width", "white", "n_root")
+    # all look-ups in one pass, for each would build and parse every file again
+    tags = tiff.tag_table(_keyed_files(spark, d, _tagged)).select("path", "dir_ord", "ifd_offset", "tag_id", "numbers").withColumn("is_raw", tiff.is_raw())
+    pick = lambda where, ident: F.max(F.when(where & (F.col("tag_id") == ident), F.element_at("numbers", 1)))
+    root, raw = F.col("dir_ord") == 0, F.col("is_raw")
+    found = {"root_width": pick(root, 256), "raw_width": pick(raw, 256), "white": pick(raw, 50717), "n_root": F.count_if(F.col("ifd_offset") == 8)}
+    whole = tags.groupBy("path").agg(*[v.alias(n) for n, v in found.items()]).dropna().filter("n_root > 0")
+    return whole.select(_image_id(), *found)
 
 
 def _blocks(px: np.ndarray, height: int, width: int, one: Callable[[np.ndarray], bytes]) -> list[bytes]:

@@ -4,6 +4,8 @@ import time
 
 from photonlake.functions import cipher
 from photonlake.plans import queries
+from photonlake.plans.registry import QUERIES
+from tests.conftest import SMALL
 
 
 def test_a_long_page_is_cut_in_one_pass(spark, tmp_path):
@@ -18,3 +20,8 @@ def test_a_long_page_is_cut_in_one_pass(spark, tmp_path):
     want = lambda p, page: (len(p), sum(b ^ int(key[(i + page * 9973) % cipher.MODULUS]) for i, b in enumerate(p)))
     assert got == {5: want(data, 5), 8: want(b"a\0", 8)}
     assert time.time() - began < 90  # looked up byte by byte in a text, these pages take many times as long
+
+
+def test_tags_are_read_once_for_all_look_ups(spark):
+    plan = QUERIES["tiff_lookups"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2  # files are built, then parsed
