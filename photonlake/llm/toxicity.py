@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.store import materialise
+from photonlake.session import release
 
 BUCKETS = 1 << 18
 DIMENSION = 8
@@ -214,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
             part = np.flatnonzero(use & (fold != f))
             part = part if len({*label[part]}) == 2 else np.flatnonzero(use)
             fits.append(fit_windows([windows[i] for i in part], label[part], seed=7 + f))
+        del windows
         weights = np.stack(fits).astype(np.float32)
+        release(docs.sparkSession)  # else the windows of every round add up in the driver
         shared = docs.sparkSession.sparkContext.broadcast(weights)
     tops = texts.mapInPandas(_sampler(shared), SAMPLED).groupBy("doc_id").agg(F.max("toxic").alias("y"), F.max("top").alias("x")).toPandas()
     n = tops["y"].value_counts()
